@@ -9,7 +9,8 @@ comes from a table of counts by hash cell over all documents (any table gives th
 number of sub-classes depends on the set's size band; a set is indexed under its own band and the one above, and partners'
 bands differ by one at most.
 
-Sets that are equal form one class first. Classes that share a signature form candidate clusters (components of the graph
+Sets that are equal form one class first. The classes that share a signature are looked at once more with a table of their
+own shingles, which drops most that share but a passage. Those left form candidate clusters (components of the graph
 signature - class); each cluster's sets meet in blocks of bounded bytes, where every class that is not yet linked to all
 others is counted against them; only links that join something new leave the task. Links' components give the result. No pair
 is emitted that isn't a link, none is lost, and nothing is capped.
@@ -32,15 +33,15 @@ from .common import BROADCAST_ROWS, components, load, map_batches, materialize,
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
 #: Hash cells of the table of counts, its slices, and the bytes of sets in one block.
-CELL_BITS, SLICES, BLOCK_BYTES = 22, 64, 16 << 20
+CELL_BITS, SLICES, BLOCK_BYTES = 24, 256, 24 << 20
 _BAND = np.log(10 / 9)
 
 
-def _cells(s: np.ndarray) -> np.ndarray:
-    return (s >> U(64 - CELL_BITS)).astype(np.int64)
+def _cells(s: np.ndarray, turn: int = 0) -> np.ndarray:
+    return ((mix(s + U(turn)) if turn else s) >> U(64 - CELL_BITS)).astype(np.int64)
 
 
-def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
+def cell_levels(docs: DataFrame, k: int, turn: int = 0) -> np.ndarray:
     """Shingles of all documents by hash cell, as floor(log2(count + 1)): a table of fixed size, whatever the input's. Tasks
     send their table in compressed slices; slices are added up in two rounds, so no task meets those of all others."""
     cells, width = 1 << CELL_BITS, (1 << CELL_BITS) // SLICES
@@ -57,7 +58,7 @@ def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
 
         for batch in batches:
             for t in texts(batch):
-                held.append(_cells(shingles(word_hashes(fold_case(t)), k)))
+                held.append(_cells(shingles(word_hashes(fold_case(t)), k), turn))
                 size += len(held[-1])
                 if size > 1 << 20:
                     add()
@@ -93,11 +94,11 @@ def common_level(levels: np.ndarray) -> int:
     return int(np.ceil(np.log2(8 * mean + 64)))
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, common: int, percent: int) -> np.ndarray:
+def signatures(s: np.ndarray, levels: np.ndarray, common: int, percent: int, turn: int = 0) -> np.ndarray:
     """The indexed signatures of a sorted set of shingles. levels: by hash cell."""
     n = len(s)
     need = n * (100 - percent) // 100 + 1
-    level = levels[_cells(s)]
+    level = levels[_cells(s, turn)]
     few = level < common
     rare = s[few]
     rare = rare[np.argsort(level[few], kind="stable")]
@@ -128,7 +129,7 @@ def _prints(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray, turn: int = 0) -> DataFrame:
     """(doc_id, print, n_shingles, signatures) of every row; an empty set has no print."""
 
     table, common = docs.sparkSession.sparkContext.broadcast(levels), common_level(levels)
@@ -142,7 +143,7 @@ def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame
                 s = shingles(word_hashes(fold_case(t)), k)
                 sizes.append(len(s))
                 prints.append(_prints(s) if len(s) else None)
-                sigs.append(signatures(s, levels, common, percent).view(np.int64) if len(s) > 1 else [])
+                sigs.append(signatures(s, levels, common, percent, turn).view(np.int64) if len(s) > 1 else [])
             return {"print": prints, "n_shingles": sizes, "signatures": sigs}
 
         return work
@@ -151,12 +152,23 @@ def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame
     return map_batches(docs.select("doc_id", "text"), start, new, ["doc_id"])
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    """(a, b): of each signature that several classes share, its smallest class and each other class."""
+    sig = found.select("print", F.explode("signatures").alias("sig"))
+    many = sig.groupBy("sig").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub != last").select("sig", "hub")
+    many = small(materialize(many, "signatures"))
+    return sig.join(many, "sig").where(F.col("print") != F.col("hub")).select(F.col("hub").alias("a"), F.col("print").alias("b"))
+
+
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs with one of the ids (materialised): texts are shuffled only beyond the broadcast bound."""
+    return docs.select("doc_id", "text").join(small(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
     """(print, cluster, n, set) of the wanted classes (print, cluster, doc_id): texts are read again by one id of each class;
     a shuffle of texts is needed only beyond the broadcast bound."""
-    ids = wanted.select("doc_id").distinct()
-    ids = F.broadcast(ids) if n_wanted <= BROADCAST_ROWS else ids
-    text = docs.select("doc_id", "text").join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    text = _chosen(docs, wanted.select("doc_id").distinct())
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
@@ -211,16 +223,19 @@ def _verify(percent: int):
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, print) of every row of docs; linked: 100 * intersection >= percent * union."""
     found = materialize(scan(docs, k, percent, cell_levels(docs, k)), "jaccard")
-    sig = found.select("print", F.explode("signatures").alias("sig"))
-    many = sig.groupBy("sig").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub != last").select("sig", "hub")
-    many = materialize(many, "signatures")
-    edges = sig.join(small(many), "sig").where(F.col("print") != F.col("hub")).select(F.col("hub").alias("a"), F.col("print").alias("b"))
-    cluster = materialize(components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster")), "clusters")
+    # a table of the candidates alone tells rare from common better; only classes that share a signature again go on
+    met = materialize(_edges(found).select(F.explode(F.array("a", "b")).alias("print")).distinct(), "candidates")
+    ids = found.join(small(met), "print").groupBy("print").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    again = _chosen(docs, materialize(ids, "candidates"))
+    second = materialize(scan(again, k, percent, cell_levels(again, k, 1), 1), "jaccard")
+    second = second.join(small(met), "print", "left_semi")
+    cluster = components(_edges(second)).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
+    cluster = materialize(cluster, "clusters")
     n = cluster.count()
     member = found.select("print", "doc_id", "n_shingles").join(small(cluster, n), "print")
     member = materialize(member.groupBy("print", "cluster").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "members")
     blocks = member.groupBy("cluster").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES).cast("int").alias("blocks"))
-    member = member.join(small(blocks, n), "cluster")
+    member = materialize(member.join(small(blocks, n), "cluster"), "members")
     sets = _sets(docs, member, n, k).join(small(member.select("print", "blocks"), n), "print")
     i = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
