@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripleweave.llm import bpe, common, decontam, jaccard, mixing, sharding, vectors
 
-jaccard.CELL_BITS = 14
+jaccard.CELL_BITS, jaccard.SLICES = 14, 8
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(3000)]
 

@@ -9,11 +9,12 @@ comes from a table of counts by hash cell over all documents (any table gives th
 number of sub-classes depends on the set's size band; a set is indexed under its own band and the one above, and partners'
 bands differ by one at most.
 
-Sets that are equal form one class first. The classes that share a signature are looked at once more with a table of their
-own shingles, which drops most that share but a passage. Those left form candidate clusters (components of the graph
-signature - class); each cluster's sets meet in blocks of bounded bytes, where every class that is not yet linked to all
-others is counted against them; only links that join something new leave the task. Links' components give the result. No pair
-is emitted that isn't a link, none is lost, and nothing is capped.
+Sets that are equal form one class first. Classes that share a signature form candidate clusters (components of the graph
+signature - class). In a cluster, sets of one size band and the one below meet in blocks of bounded bytes, first by a fixed
+sample of their shingles: a partner lacks at most floor((1-t)|x|) shingles of x, so more missing in the sample rule a pair out
+for certain. What isn't ruled out forms smaller clusters, whose whole sets meet in the same way; links' components give the
+result. In a block only links that join something new leave the task: no list of all pairs is made, none is lost, nothing is
+capped. Prints of sets have 128 bits; the graphs run on their first 64.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; equal rows fall into one class; a row
 with a null id takes part, and a component's id is its smallest id that isn't null; an empty table gives no rows.
@@ -32,19 +33,20 @@ from pyspark.sql import types as T
 from .common import BROADCAST_ROWS, components, load, map_batches, materialize, small, texts
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
-#: Hash cells of the table of counts, its slices, and the bytes of sets in one block.
-CELL_BITS, SLICES, BLOCK_BYTES = 24, 256, 24 << 20
+#: Hash cells of the table of counts, its slices, the bytes of sets in one block, and one in how many shingles is sampled.
+CELL_BITS, SLICES, BLOCK_BYTES, SAMPLED = 24, 256, 24 << 20, 4
 _BAND = np.log(10 / 9)
 
 
-def _cells(s: np.ndarray, turn: int = 0) -> np.ndarray:
-    return ((mix(s + U(turn)) if turn else s) >> U(64 - CELL_BITS)).astype(np.int64)
+def _cells(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> U(64 - bits)).astype(np.int64)
 
 
-def cell_levels(docs: DataFrame, k: int, turn: int = 0) -> np.ndarray:
+def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles of all documents by hash cell, as floor(log2(count + 1)): a table of fixed size, whatever the input's. Tasks
     send their table in compressed slices; slices are added up in two rounds, so no task meets those of all others."""
-    cells, width = 1 << CELL_BITS, (1 << CELL_BITS) // SLICES
+    bits, slices_ = CELL_BITS, SLICES
+    cells, width = 1 << bits, (1 << bits) // slices_
 
     def run(batches):
         total, held, size = np.zeros(cells, np.uint32), [], 0
@@ -58,14 +60,14 @@ def cell_levels(docs: DataFrame, k: int, turn: int = 0) -> np.ndarray:
 
         for batch in batches:
             for t in texts(batch):
-                held.append(_cells(shingles(word_hashes(fold_case(t)), k), turn))
+                held.append(_cells(shingles(word_hashes(fold_case(t)), k), bits))
                 size += len(held[-1])
                 if size > 1 << 20:
                     add()
         add()
         if total.any():
             slices = [zlib.compress(total[i : i + width].tobytes(), 1) for i in range(0, cells, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(slices, pa.binary())], names=["part", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices_), pa.int32()), pa.array(slices, pa.binary())], names=["part", "n"])
 
     def add_up(key, batches):
         total = np.zeros(width, np.int64)
@@ -94,11 +96,11 @@ def common_level(levels: np.ndarray) -> int:
     return int(np.ceil(np.log2(8 * mean + 64)))
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, common: int, percent: int, turn: int = 0) -> np.ndarray:
+def signatures(s: np.ndarray, levels: np.ndarray, common: int, percent: int) -> np.ndarray:
     """The indexed signatures of a sorted set of shingles. levels: by hash cell."""
     n = len(s)
     need = n * (100 - percent) // 100 + 1
-    level = levels[_cells(s, turn)]
+    level = levels[_cells(s, len(levels).bit_length() - 1)]
     few = level < common
     rare = s[few]
     rare = rare[np.argsort(level[few], kind="stable")]
@@ -129,8 +131,12 @@ def _prints(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray, turn: int = 0) -> DataFrame:
-    """(doc_id, print, n_shingles, signatures) of every row; an empty set has no print."""
+def _node(p: bytes | None) -> int | None:
+    return None if p is None else int.from_bytes(p[:8], "little", signed=True)
+
+
+def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """(doc_id, print, node, n_shingles, signatures) of every row; an empty set has no print. node: the print's first half."""
 
     table, common = docs.sparkSession.sparkContext.broadcast(levels), common_level(levels)
 
@@ -143,21 +149,21 @@ def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray, turn: int =
                 s = shingles(word_hashes(fold_case(t)), k)
                 sizes.append(len(s))
                 prints.append(_prints(s) if len(s) else None)
-                sigs.append(signatures(s, levels, common, percent, turn).view(np.int64) if len(s) > 1 else [])
-            return {"print": prints, "n_shingles": sizes, "signatures": sigs}
+                sigs.append(signatures(s, levels, common, percent).view(np.int64) if len(s) > 1 else [])
+            return {"print": prints, "node": [_node(x) for x in prints], "n_shingles": sizes, "signatures": sigs}
 
         return work
 
-    new = [T.StructField("print", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))]
+    new = [T.StructField("print", T.BinaryType()), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))]
     return map_batches(docs.select("doc_id", "text"), start, new, ["doc_id"])
 
 
 def _edges(found: DataFrame) -> DataFrame:
     """(a, b): of each signature that several classes share, its smallest class and each other class."""
-    sig = found.select("print", F.explode("signatures").alias("sig"))
-    many = sig.groupBy("sig").agg(F.min("print").alias("hub"), F.max("print").alias("last")).where("hub != last").select("sig", "hub")
+    sig = found.select("node", F.explode("signatures").alias("sig"))
+    many = sig.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
     many = small(materialize(many, "signatures"))
-    return sig.join(many, "sig").where(F.col("print") != F.col("hub")).select(F.col("hub").alias("a"), F.col("print").alias("b"))
+    return sig.join(many, "sig").where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -165,87 +171,103 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(small(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n_wanted: int, k: int) -> DataFrame:
-    """(print, cluster, n, set) of the wanted classes (print, cluster, doc_id): texts are read again by one id of each class;
-    a shuffle of texts is needed only beyond the broadcast bound."""
-    text = _chosen(docs, wanted.select("doc_id").distinct())
+def _sets(docs: DataFrame, member: DataFrame, k: int, part: int) -> DataFrame:
+    """(node, cluster, n, set) of the members (node, cluster, doc_id, n; materialised): texts are read again by one id of each
+    class. part: a set of 64 or more keeps the shingles whose mixed hash is 0 modulo part."""
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
             found = [shingles(word_hashes(fold_case(t)), k) for t in texts(batch)]
-            return {"print": [_prints(s) if len(s) else None for s in found], "set": [s.tobytes() for s in found]}
+            nodes = [_node(_prints(s)) if len(s) else None for s in found]
+            if part > 1:
+                found = [s if len(s) < 64 else s[mix(s) % U(part) == 0] for s in found]
+            return {"node": nodes, "set": [s.tobytes() for s in found]}
 
         return work
 
-    new = [T.StructField("print", T.BinaryType()), T.StructField("set", T.BinaryType())]
-    again = map_batches(text, start, new, [])
-    w = wanted.select("print", "cluster", F.col("n_shingles").alias("n"))
-    return again.join(F.broadcast(w) if n_wanted <= BROADCAST_ROWS else w, "print").dropDuplicates(["print"])
+    new = [T.StructField("node", T.LongType()), T.StructField("set", T.BinaryType())]
+    again = map_batches(_chosen(docs, materialize(member.select("doc_id").distinct(), "ids")), start, new, [])
+    return again.join(small(member.select("node", "cluster", "n")), "node")
 
 
-def _verify(percent: int):
-    """Links among the sets of one group (cluster, i, j): of block i with block j, or within block i if i = j."""
+def _verify(percent: int, whole: bool):
+    """Links among the sets of one group (cluster, band, i, j): of the band's sets in block i with those of block j and of the
+    band below. whole: by their similarity; else pairs whose sampled shingles don't rule it out."""
 
     def run(key, pdf):
         import pandas as pd
 
-        left = pdf["side"].to_numpy() == 0
+        pdf = pdf.drop_duplicates(["node", "side", "low"])  # equal rows
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        sizes = np.array([len(x) for x in sets])
+        sizes, n = np.array([len(x) for x in sets], np.int64), pdf["n"].to_numpy()
         vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
         ends = np.cumsum(sizes)
-        own = key[1] == key[2]
-        rows = np.flatnonzero(left)
-        others = rows if own else np.flatnonzero(~left)
-        out, mark, prints = [], np.zeros(len(vocab), np.int64), pdf["print"].tolist()
-        label = np.arange(len(sets))
-        for r in rows:
-            rest = others[(label[others] != label[r]) & (others > r if own else True)]
-            lo, hi = -(-sizes[r] * percent // 100), sizes[r] * 100 // percent
-            rest = rest[(sizes[rest] >= lo) & (sizes[rest] <= hi)]
+        side, low, node = pdf["side"].to_numpy(), pdf["low"].to_numpy(), pdf["node"].to_numpy()
+        own = key[2] == key[3]
+        loss = n * (100 - percent) // 100
+        out, label = [], np.unique(node, return_inverse=True)[1]
+        # inverted lists: which sets hold a shingle; shingles of one set alone are left out
+        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
+        many = np.bincount(at, minlength=len(vocab))
+        first = np.cumsum(many) - many
+        weak = sizes <= loss  # a sample so small that it rules nothing out
+        for r in np.flatnonzero(side == 0):
+            mine = at[ends[r] - sizes[r] : ends[r]]
+            mine = mine[many[mine] > 1]
+            span = np.repeat(first[mine] - np.cumsum(many[mine]) + many[mine], many[mine]) + np.arange(many[mine].sum())
+            both = np.bincount(owner[span], minlength=len(sets))
+            ok = (both > 0) | (weak & weak[r] & (not whole))
+            ok &= (label != label[r]) & (side == (0 if own else 1)) & ~(low & low[r])
+            if own:
+                ok[: r + 1] = False
+            rest = np.flatnonzero(ok & (100 * n >= percent * n[r]) & (percent * n <= 100 * n[r]))
             if not len(rest):
                 continue
-            mine = at[ends[r] - sizes[r] : ends[r]]
-            mark[mine] = 1
-            span = np.concatenate([at[ends[x] - sizes[x] : ends[x]] for x in rest])
-            first = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
-            both = np.add.reduceat(mark[span], first)
-            mark[mine] = 0
-            for x in rest[100 * both >= percent * (sizes[r] + sizes[rest] - both)]:
+            if whole:
+                good = 100 * both[rest] >= percent * (n[r] + n[rest] - both[rest])
+            else:
+                good = (sizes[r] - both[rest] <= loss[r]) & (sizes[rest] - both[rest] <= loss[rest])
+            for x in rest[good]:
                 if label[r] != label[x]:
                     label[label == label[x]] = label[r]
-                    out.append((prints[r], prints[x]))
+                    out.append((node[r], node[x]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
 
+def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, part: int) -> DataFrame:
+    """(a, b): links of the members within their clusters. Sets that link are in one size band or in neighbouring ones, so a
+    set goes to two bands at most; a band of a cluster that is too large for a task is cut into blocks that meet in pairs."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(_BAND) + 1e-9).cast("int")
+    member = member.withColumn("band", band)
+    both = member.select("cluster", "n", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    size = F.sum(F.when(F.col("n") < 64, F.col("n") * 8).otherwise(F.col("n") * 8 / part))
+    blocks = materialize(both.groupBy("cluster", "band").agg(F.ceil(size / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
+    sets = _sets(docs, member, k, part).withColumn("own_band", band)
+    sets = sets.withColumn("band", F.explode(F.array("own_band", F.col("own_band") + 1))).withColumn("low", F.col("band") > F.col("own_band"))
+    sets = sets.join(small(blocks), ["cluster", "band"])
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("i")).cast("int"))
+    sets = sets.select("cluster", "band", "i", "j", "side", "low", "node", "n", "set")
+    return materialize(sets.groupBy("cluster", "band", "i", "j").applyInPandas(_verify(percent, part == 1), "a long, b long"), "links")
+
+
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, print) of every row of docs; linked: 100 * intersection >= percent * union."""
     found = materialize(scan(docs, k, percent, cell_levels(docs, k)), "jaccard")
-    # a table of the candidates alone tells rare from common better; only classes that share a signature again go on
-    met = materialize(_edges(found).select(F.explode(F.array("a", "b")).alias("print")).distinct(), "candidates")
-    ids = found.join(small(met), "print").groupBy("print").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    again = _chosen(docs, materialize(ids, "candidates"))
-    second = materialize(scan(again, k, percent, cell_levels(again, k, 1), 1), "jaccard")
-    second = second.join(small(met), "print", "left_semi")
-    cluster = components(_edges(second)).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
-    cluster = materialize(cluster, "clusters")
-    n = cluster.count()
-    member = found.select("print", "doc_id", "n_shingles").join(small(cluster, n), "print")
-    member = materialize(member.groupBy("print", "cluster").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "members")
-    blocks = member.groupBy("cluster").agg(F.ceil(F.sum(F.col("n_shingles") * 8) / BLOCK_BYTES).cast("int").alias("blocks"))
-    member = materialize(member.join(small(blocks, n), "cluster"), "members")
-    sets = _sets(docs, member, n, k).join(small(member.select("print", "blocks"), n), "print")
-    i = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sets = sets.withColumn("own", i).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    sets = sets.withColumn("side", (F.col("own") != F.col("i")).cast("int")).select("cluster", "i", "j", "side", "print", "set")
-    links = sets.groupBy("cluster", "i", "j").applyInPandas(_verify(percent), "a binary, b binary")
-    label = materialize(components(materialize(links, "links")).select(F.col("node").alias("print"), F.col("component").alias("root")), "roots")
-    rows = found.select("doc_id", "print", "n_shingles")
+    def members(edges: DataFrame) -> DataFrame:
+        cluster = materialize(components(edges).select("node", F.col("component").alias("cluster")), "clusters")
+        one = found.select("node", "doc_id", "n_shingles").join(small(cluster), "node")
+        return materialize(one.groupBy("node", "cluster").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "members")
+
+    likely = _links(docs, members(_edges(found)), k, percent, SAMPLED)
+    links = _links(docs, members(likely), k, percent, 1)
+    label = materialize(components(links).select("node", F.col("component").cast("string").alias("root")), "roots")
+    rows = found.select("doc_id", "print", "node", "n_shingles")
     some, none = rows.where("print is not null"), rows.where("print is null")  # an empty set stands alone
-    some = some.join(small(label), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    some = some.join(small(label), "node", "left").withColumn("root", F.coalesce("root", F.hex("print")))
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     shared = materialize(least.where("n > 1"), "shared")
     out = some.join(small(shared), "root", "left")
