@@ -384,7 +384,7 @@ class Engine:
         for x in _find(e, A.Exists):
             inner = self.group(x.group)
             name, row = f"%e{next(self.fresh)}", f"__row{next(self.fresh)}"
-            tagged = Rel(rel.df.withColumn(row, F.monotonically_increasing_id()), rel.vars)
+            tagged = self._numbered(rel, row)
             hit = self._semi(tagged, inner, False).df.select(_c(row).alias("__hit")).distinct()
             df = tagged.df.join(hit, _c(row) == _c("__hit"), "left")
             flag = (_c("__hit").isNotNull() if not x.negated else _c("__hit").isNull()).cast("string")
@@ -528,6 +528,11 @@ class Engine:
             parts.append(a.join(b, functools.reduce(lambda x, y: x & y, eq), how) if eq else a.crossJoin(b))
         return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
+    @staticmethod
+    def _numbered(rel: Rel, row: str) -> Rel:
+        """rel with a number for each row, written down: a plan that is run twice could number rows differently."""
+        return Rel(paths._cut(rel.df.withColumn(row, F.monotonically_increasing_id())), rel.vars)
+
     def join(self, l: Rel | None, r: Rel) -> Rel:
         if l is None:
             return r
@@ -545,7 +550,7 @@ class Engine:
             df = l.df.join(s.df, functools.reduce(lambda x, y: x & y, plain[0][2]), "left_outer")
             return self._after(l, s, n, df, True)
         row = f"__row{next(self.fresh)}"
-        tagged = Rel(l.df.withColumn(row, F.monotonically_increasing_id()), l.vars)
+        tagged = self._numbered(l, row)
         df = self._met(tagged, s, n)
         if df is None:
             df = l.df
@@ -578,7 +583,7 @@ class Engine:
                 return l if negated else Rel(l.df.limit(0), l.vars)
             return Rel(l.df.join(s.df, functools.reduce(lambda x, y: x & y, eq), how), l.vars)
         row = f"__row{next(self.fresh)}"
-        tagged = Rel(l.df.withColumn(row, F.monotonically_increasing_id()), l.vars)
+        tagged = self._numbered(l, row)
         df = self._met(tagged, s, n)
         if df is None:
             return l if negated else Rel(l.df.limit(0), l.vars)
@@ -593,7 +598,7 @@ class Engine:
         if all(not l.vars[v].nullable and not r.vars[v].nullable for v in shared):
             return self._semi(l, r, True)
         row = f"__row{next(self.fresh)}"
-        tagged = Rel(l.df.withColumn(row, F.monotonically_increasing_id()), l.vars)
+        tagged = self._numbered(l, row)
         s, n = self._side(self._project(r, shared))
         df = self._met(tagged, s, n)
         if df is None:
