@@ -197,6 +197,8 @@ def _verify(percent: int, whole: bool):
     def run(key, pdf):
         import pandas as pd
 
+        if pdf["node"].nunique() < 2:
+            return pd.DataFrame([], columns=["a", "b"])
         pdf = pdf.drop_duplicates(["node", "side", "low"])  # equal rows
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
         sizes, n = np.array([len(x) for x in sets], np.int64), pdf["n"].to_numpy()
@@ -241,9 +243,12 @@ def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, part: int)
     set goes to two bands at most; a band of a cluster that is too large for a task is cut into blocks that meet in pairs."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(_BAND) + 1e-9).cast("int")
     member = member.withColumn("band", band)
-    both = member.select("cluster", "n", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    both = member.select("cluster", "n", F.col("band").alias("own"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     size = F.sum(F.when(F.col("n") < 64, F.col("n") * 8).otherwise(F.col("n") * 8 / part))
-    blocks = materialize(both.groupBy("cluster", "band").agg(F.ceil(size / BLOCK_BYTES).cast("int").alias("blocks")), "blocks")
+    # a band with nothing to compare isn't dealt out
+    blocks = materialize(both.groupBy("cluster", "band").agg(
+        F.greatest(F.ceil(size / BLOCK_BYTES).cast("int"), F.lit(1)).alias("blocks"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("own") == F.col("band")).alias("here")
+    ).where("all > 1 and here > 0").select("cluster", "band", "blocks"), "blocks")
     sets = _sets(docs, member, k, part).withColumn("own_band", band)
     sets = sets.withColumn("band", F.explode(F.array("own_band", F.col("own_band") + 1))).withColumn("low", F.col("band") > F.col("own_band"))
     sets = sets.join(small(blocks), ["cluster", "band"])
