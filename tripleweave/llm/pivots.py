@@ -28,6 +28,8 @@ from .common import attach, components, load, map_batches, materialize, small
 NEAREST, SHARED = 8, 2
 #: Cosine between two pivots at most; pivots at most (the broadcast stays below 2 ** 16 vectors); classes in a block.
 APART, MOST, BLOCK = 0.8, 1 << 16, 2048
+#: What names a group of classes that meet: the list and two of its blocks.
+GROUP = ["dim", "one", "two", "i", "j"]
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -103,29 +105,35 @@ def _lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _verify(least: float):
-    def run(key, pdf):
-        import pandas as pd
-
-        one, two, i, j = key[1], key[2], key[3], key[4]
-        side = pdf["side"].to_numpy()
-        x = np.stack([np.frombuffer(v, np.float64) for v in pdf["vector"]])
+    """Of rows sorted by list and block, group after group: (key, null, links) and the links that join something new. A task
+    holds one group and one batch at a time; lists are many and short, so they aren't dealt out as pandas groups."""
+
+    def group(name, raw, near, copies, keys, side, out):
+        if len(raw) < 2:
+            return
+        _, one, two, i, j = name
+        x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
         norm = np.sqrt((x * x).sum(1))
-        near = np.stack(pdf["near"].to_numpy())
-        # the pivots below `two` but `one`: a pair that shares any of them counts elsewhere
-        low = np.where((near < two) & (near != one), near, -9)
-        names = np.unique(low)
-        hot = np.zeros((len(x), len(names)), np.float32)
-        hot[np.arange(len(x))[:, None], np.searchsorted(names, low)] = 1
-        hot = hot[:, names != -9]
-        copies, keys = pdf["copies"].to_numpy(), pdf["key"].tolist()
+        side = np.array(side)
         a = np.flatnonzero(side == 0)
         b = a if i == j else np.flatnonzero(side == 1)
-        count, label, edges = np.zeros(len(x), np.int64), np.arange(len(x)), []
+        count, label, copies, hot = np.zeros(len(x), np.int64), np.arange(len(x)), np.array(copies), None
         for at in range(0, len(a), 512):
             r = a[at : at + 512]
-            ok = ((x[r] @ x[b].T) / (norm[r][:, None] * norm[b][None, :]) >= least) & (hot[r] @ hot[b].T == 0)
+            ok = (x[r] @ x[b].T) / (norm[r][:, None] * norm[b][None, :]) >= least
             if i == j:
                 ok &= r[:, None] != b[None, :]
+            if not ok.any():
+                continue
+            if hot is None:
+                # the pivots below `two` but `one`: a pair that shares any of them counts elsewhere
+                near = np.array(near)
+                low = np.where((near < two) & (near != one), near, -9)
+                names = np.unique(low)
+                hot = np.zeros((len(x), len(names)), np.float32)
+                hot[np.arange(len(x))[:, None], np.searchsorted(names, low)] = 1
+                hot = hot[:, names != -9]
+            ok &= hot[r] @ hot[b].T == 0
             count[r] += ok @ copies[b]
             if i != j:
                 count[b] += copies[r] @ ok
@@ -134,10 +142,37 @@ def _verify(least: float):
                     met = b[hits]
                     for l in np.unique(label[met]):
                         if l != label[u]:
-                            edges.append((keys[u], keys[int(met[label[met] == l][0])]))
+                            out.append((keys[u], keys[int(met[label[met] == l][0])], 0))
                             label[label == l] = label[u]
-        rows = [(keys[u], None, int(count[u])) for u in np.flatnonzero(count)]
-        return pd.DataFrame(rows + [(u, v, 0) for u, v in edges], columns=["a", "b", "n"])
+        out += [(keys[u], None, int(count[u])) for u in np.flatnonzero(count)]
+
+    def send(out):
+        a, b, n = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+
+    def run(batches):
+        name, held = None, [[] for _ in range(5)]  # the group that the next batch may go on with
+        for batch in batches:
+            out: list[tuple] = []
+            of = batch.schema.get_field_index
+            groups = np.stack([batch.column(of(c)).to_numpy() for c in GROUP], 1)
+            columns = [batch.column(of(c)).to_pylist() for c in ("vector", "near", "copies", "key", "side")]
+            heads = [0, *(np.flatnonzero((groups[1:] != groups[:-1]).any(1)) + 1).tolist()]
+            for s, e in zip(heads, [*heads[1:], len(groups)]):
+                now = tuple(groups[s].tolist())
+                if now != name:
+                    if name:
+                        group(name, *held, out)
+                    name, held = now, [c[s:e] for c in columns]
+                else:
+                    held = [h + c[s:e] for h, c in zip(held, columns)]
+            if out:
+                yield send(out)
+        out = []
+        if name:
+            group(name, *held, out)
+        if out:
+            yield send(out)
 
     return run
 
@@ -161,7 +196,8 @@ def near(vectors: DataFrame, least: float = 0.9, pivots: int | None = None) -> D
     met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("i")).cast("int"))
     met = met.join(small(classes.select("key", "vector"), n, 100_000), "key")
     met = met.select("dim", "one", "two", "i", "j", "side", "key", "copies", "near", "vector")
-    found = materialize(met.groupBy("dim", "one", "two", "i", "j").applyInPandas(_verify(least), "a binary, b binary, n long"), "links")
+    met = met.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    found = materialize(met.mapInArrow(_verify(least), "a binary, b binary, n long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     label = materialize(components(found.where("b is not null").select("a", "b")), "roots")
     info = classes.select("key", "copies", "least_id").join(small(materialize(links, "counts")), "key", "left")
