@@ -69,30 +69,35 @@ def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
             slices = [zlib.compress(total[i : i + width].tobytes(), 1) for i in range(0, cells, width)]
             yield pa.RecordBatch.from_arrays([pa.array(range(slices_), pa.int32()), pa.array(slices, pa.binary())], names=["part", "n"])
 
-    def add_up(key, batches):
-        total = np.zeros(width, np.int64)
-        for pdf in batches:
+    def add_up(finish):
+        def run(key, pdf):
+            import pandas as pd
+
+            total = np.zeros(width, np.int64)
             for x in pdf["n"]:
                 total += np.frombuffer(zlib.decompress(x), np.uint32)
-        import pandas as pd
+            return pd.DataFrame({"part": [key[0]], "n": [zlib.compress(finish(total).tobytes(), 1)]})
+
+        return run
 
-        return pd.DataFrame({"part": [key[0]], "n": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+    def counts(total):
+        return np.minimum(total, 2**32 - 1).astype(np.uint32)
 
-    def whole(key, pdf):
-        return add_up(key, [pdf])
+    def levels(total):
+        return np.log2(total + 1.0).astype(np.uint8)
 
     parts = docs.select("text").mapInArrow(run, "part int, n binary")
-    some = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "lot").applyInPandas(whole, "part int, n binary")
+    some = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "lot").applyInPandas(add_up(counts), "part int, n binary")
     out = np.zeros(cells, np.uint8)
-    for r in some.groupBy("part").applyInPandas(whole, "part int, n binary").collect():
-        n = np.frombuffer(zlib.decompress(r["n"]), np.uint32)
-        out[r["part"] * width : (r["part"] + 1) * width] = np.log2(n + 1.0).astype(np.uint8)
+    for r in some.groupBy("part").applyInPandas(add_up(levels), "part int, n binary").collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["n"]), np.uint8)
     return out
 
 
 def common_level(levels: np.ndarray) -> int:
     """Shingles in cells of this level and above count as frequent: eight times the mean cell, 64 at least."""
-    mean = (np.exp2(levels.astype(np.float64)) - 1).mean()
+    found = np.bincount(levels)  # levels are few: no wide copy of the table
+    mean = found @ (np.exp2(np.arange(len(found))) - 1) / len(levels)
     return int(np.ceil(np.log2(8 * mean + 64)))
 
 
