@@ -122,7 +122,7 @@ def _bags(text: str) -> list[tuple[np.ndarray, int]]:
             continue
         bucket, word = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(word, kind="stable")
-        bucket, edge = bucket[order], np.searchsorted(word[order], np.arange(words + 1))
+        bucket, edge = bucket[order].astype(np.int32), np.searchsorted(word[order], np.arange(words + 1))
         for a, at, fresh in zip(*_fresh(data, words)):
             z = min(a + WINDOW, words)
             own = [bucket[edge[w] : edge[w + 1]] for w in at[fresh].tolist()]
