@@ -106,6 +106,29 @@ def test_jaccard_blocks(spark, near, monkeypatch):
     assert got == union(links, sets)
 
 
+@pytest.mark.parametrize("common_from", [None, 0])
+def test_jaccard_join_sampled(spark, monkeypatch, common_from):
+    """Copies by deletions and insertions of 58 to 70 shingles: the first look holds some whole and samples the others."""
+    if common_from is not None:
+        monkeypatch.setattr(jaccard, "common_level", lambda levels: common_from)
+    r, found = random.Random(7), []
+    for n in range(60, 73):
+        for few in (1, 2, 4):
+            w = prose(r, n).split()
+            at = r.randrange(n - few)
+            found += [w, w[:-few]]
+            w = prose(r, n).split()
+            found += [w, w[:at] + prose(r, few).split() + w[at:]]
+            w = prose(r, n).split()
+            found += [w, w[:at] + w[at + few :]]
+    rows = [(i, " ".join(w), None) for i, w in enumerate(found)]
+    sets = {i: grams(t) for i, t, _ in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    assert sum(len(sets[a]) // 64 != len(sets[b]) // 64 for a, b in links) >= 5
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs_of(spark, rows)).collect()}
+    assert got == union(links, sets)
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.join(odd).select("doc_id", "n_shingles", "component_id").collect()
     assert len(got) == odd.count()

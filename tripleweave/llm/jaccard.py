@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 from .common import BROADCAST_ROWS, components, load, map_batches, materialize, small, texts
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
-#: Hash cells of the table of counts, its slices, the bytes of sets in one block, and one in how many shingles is sampled.
-CELL_BITS, SLICES, BLOCK_BYTES, SAMPLED = 24, 256, 24 << 20, 4
+#: Hash cells of the table of counts, its slices, the bytes of sets in one block, and one in how many shingles is sampled, in
+#: sets of how many or more.
+CELL_BITS, SLICES, BLOCK_BYTES, SAMPLED, LARGE = 24, 256, 24 << 20, 4, 64
 _BAND = np.log(10 / 9)
 
 
@@ -176,16 +177,20 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(small(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
 
+def _sampled(s: np.ndarray, part: int) -> np.ndarray:
+    return mix(s) % U(part) == 0
+
+
 def _sets(docs: DataFrame, member: DataFrame, k: int, part: int) -> DataFrame:
     """(node, cluster, n, set) of the members (node, cluster, doc_id, n; materialised): texts are read again by one id of each
-    class. part: a set of 64 or more keeps the shingles whose mixed hash is 0 modulo part."""
+    class. part: a set of LARGE or more keeps the shingles whose mixed hash is 0 modulo part."""
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
             found = [shingles(word_hashes(fold_case(t)), k) for t in texts(batch)]
             nodes = [_node(_prints(s)) if len(s) else None for s in found]
             if part > 1:
-                found = [s if len(s) < 64 else s[mix(s) % U(part) == 0] for s in found]
+                found = [s if len(s) < LARGE else s[_sampled(s, part)] for s in found]
             return {"node": nodes, "set": [s.tobytes() for s in found]}
 
         return work
@@ -195,9 +200,11 @@ def _sets(docs: DataFrame, member: DataFrame, k: int, part: int) -> DataFrame:
     return again.join(small(member.select("node", "cluster", "n")), "node")
 
 
-def _verify(percent: int, whole: bool):
+def _verify(percent: int, part: int):
     """Links among the sets of one group (cluster, band, i, j): of the band's sets in block i with those of block j and of the
-    band below. whole: by their similarity; else pairs whose sampled shingles don't rule it out."""
+    band below. part 1: by their similarity; else pairs whose sampled shingles don't rule it out. A small set is held whole,
+    and against a sampled one only its sampled shingles can be missed."""
+    whole = part == 1
 
     def run(key, pdf):
         import pandas as pd
@@ -217,13 +224,13 @@ def _verify(percent: int, whole: bool):
         owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
         many = np.bincount(at, minlength=len(vocab))
         first = np.cumsum(many) - many
-        weak = sizes <= loss  # a sample so small that it rules nothing out
+        seen = sizes if whole else np.array([np.count_nonzero(_sampled(x, part)) for x in sets], np.int64)  # what a sampled partner could hold
         for r in np.flatnonzero(side == 0):
             mine = at[ends[r] - sizes[r] : ends[r]]
             mine = mine[many[mine] > 1]
             span = np.repeat(first[mine] - np.cumsum(many[mine]) + many[mine], many[mine]) + np.arange(many[mine].sum())
             both = np.bincount(owner[span], minlength=len(sets))
-            ok = (both > 0) | (weak & weak[r] & (not whole))
+            ok = (both > 0) | (not whole)  # a sample can be so small that it rules nothing out
             ok &= (label != label[r]) & (side == (0 if own else 1)) & ~(low & low[r])
             if own:
                 ok[: r + 1] = False
@@ -233,7 +240,8 @@ def _verify(percent: int, whole: bool):
             if whole:
                 good = 100 * both[rest] >= percent * (n[r] + n[rest] - both[rest])
             else:
-                good = (sizes[r] - both[rest] <= loss[r]) & (sizes[rest] - both[rest] <= loss[rest])
+                mine, theirs = np.where(n[rest] < LARGE, sizes[r], seen[r]), (sizes if n[r] < LARGE else seen)[rest]
+                good = (mine - both[rest] <= loss[r]) & (theirs - both[rest] <= loss[rest])
             for x in rest[good]:
                 if label[r] != label[x]:
                     label[label == label[x]] = label[r]
@@ -249,7 +257,7 @@ def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, part: int)
     band = F.floor(F.log(F.col("n").cast("double")) / float(_BAND) + 1e-9).cast("int")
     member = member.withColumn("band", band)
     both = member.select("cluster", "n", F.col("band").alias("own"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    size = F.sum(F.when(F.col("n") < 64, F.col("n") * 8).otherwise(F.col("n") * 8 / part))
+    size = F.sum(F.when(F.col("n") < LARGE, F.col("n") * 8).otherwise(F.col("n") * 8 / part))
     # a band with nothing to compare isn't dealt out
     blocks = materialize(both.groupBy("cluster", "band").agg(
         F.greatest(F.ceil(size / BLOCK_BYTES).cast("int"), F.lit(1)).alias("blocks"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("own") == F.col("band")).alias("here")
@@ -261,7 +269,7 @@ def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, part: int)
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("i")).cast("int"))
     sets = sets.select("cluster", "band", "i", "j", "side", "low", "node", "n", "set")
-    return materialize(sets.groupBy("cluster", "band", "i", "j").applyInPandas(_verify(percent, part == 1), "a long, b long"), "links")
+    return materialize(sets.groupBy("cluster", "band", "i", "j").applyInPandas(_verify(percent, part), "a long, b long"), "links")
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
