@@ -129,6 +129,27 @@ def test_jaccard_join_sampled(spark, monkeypatch, common_from):
     assert got == union(links, sets)
 
 
+@pytest.mark.parametrize("common_from", [None, 0])
+def test_keep_one_unequal_lengths(spark, monkeypatch, common_from):
+    """Similarity 0.8: a copy cut short and one with a passage put in can be a quarter shorter or longer."""
+    if common_from is not None:
+        monkeypatch.setattr(jaccard, "common_level", lambda levels: common_from)
+    r, found = random.Random(8), []
+    for n in (40, 66, 100, 150, 310, 800):
+        for share in (0.81, 0.84, 0.88, 0.93, 0.78):
+            few = int(n * (1 - share))
+            w = prose(r, n).split()
+            found += [w, w[: n - few]]
+            w, at = prose(r, n - few).split(), r.randrange(n - few)
+            found += [w, w[:at] + prose(r, few).split() + w[at:]]
+    rows = [(i, " ".join(w), None) for i, w in enumerate(found)]
+    sets = {i: frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for i, w in enumerate(found)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert sum(min(len(sets[a]), len(sets[b])) < 0.9 * max(len(sets[a]), len(sets[b])) for a, b in links) >= 15
+    want = {i for i, first in union(links, sets).items() if i == first}
+    assert {x.doc_id for x in jaccard.keep_one(docs_of(spark, rows), k=5, percent=80).collect()} == want
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.join(odd).select("doc_id", "n_shingles", "component_id").collect()
     assert len(got) == odd.count()

@@ -36,7 +36,11 @@ from .vectors import U, fold_case, mix, shingles, word_hashes
 #: Hash cells of the table of counts, its slices, the bytes of sets in one block, and one in how many shingles is sampled, in
 #: sets of how many or more.
 CELL_BITS, SLICES, BLOCK_BYTES, SAMPLED, LARGE = 24, 256, 24 << 20, 4, 64
-_BAND = np.log(10 / 9)
+
+
+def _band_width(percent: int) -> float:
+    """The width of a size band in log(size): the sizes of sets that link differ by one width at most."""
+    return float(np.log(100 / percent))
 
 
 def _cells(s: np.ndarray, bits: int) -> np.ndarray:
@@ -113,9 +117,10 @@ def signatures(s: np.ndarray, levels: np.ndarray, common: int, percent: int) ->
     if len(rare) >= need:
         return rare[:need]
     often, out = s[~few], [rare]
-    band = int(np.log(n) / _BAND + 1e-9)
+    width = _band_width(percent)
+    band = int(np.log(n) / width + 1e-9)
     for b in (band, band + 1):
-        classes = max(1, int(np.exp(b * _BAND) / 8))
+        classes = max(1, int(np.exp(b * width) / 8))
         sub = (mix(often) % U(classes)).astype(np.int64)
         order = np.lexsort((often, sub))
         c, sub = often[order], sub[order]
@@ -254,7 +259,7 @@ def _verify(percent: int, part: int):
 def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, part: int) -> DataFrame:
     """(a, b): links of the members within their clusters. Sets that link are in one size band or in neighbouring ones, so a
     set goes to two bands at most; a band of a cluster that is too large for a task is cut into blocks that meet in pairs."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(_BAND) + 1e-9).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / _band_width(percent) + 1e-9).cast("int")
     member = member.withColumn("band", band)
     both = member.select("cluster", "n", F.col("band").alias("own"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     size = F.sum(F.when(F.col("n") < LARGE, F.col("n") * 8).otherwise(F.col("n") * 8 / part))
