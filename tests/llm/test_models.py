@@ -108,6 +108,17 @@ def test_chunks(spark, odd):
     assert chunks.remove(odd).columns == odd.columns and chunks.remove(odd).count() == odd.count()
 
 
+def test_chunks_of_short_passages(spark):
+    """Passages of 51 words in two documents each."""
+    r = random.Random(6)
+    rows = []
+    for _ in range(300):
+        passage = prose(r, 51)
+        rows += [(len(rows) + i, f"{prose(r, 60)} {passage} {prose(r, 60)}") for i in range(2)]
+    found = {x.doc_id for x in chunks.repeats(docs_of(spark, rows)).collect()}
+    assert len(found) >= 0.9 * len(rows)  # of 120 bytes or more: 0.63
+
+
 def test_quality(spark, odd):
     r = random.Random(4)
     rows = [(i, " ".join(WORDS[(k * 7 + j) % 90] for j in range(60) for k in [r.randrange(3)]) if i % 5 else "".join(r.choice("#$%qxz ") for _ in range(300))) for i in range(300)]

@@ -3,8 +3,8 @@
 A text's bytes are cut where the gear hash of the last 32 bytes has its leading bits all zero, with a least and a largest chunk
 length; cuts depend on the bytes near them alone, so an insertion moves the cuts beside it and no others. Chunks get a 64-bit
 digest. A digest met in more than one place is a repeat: its first place (the smallest row) stays, the others can go. Adjacent
-repeated chunks are joined to runs; a run counts if it has `LEAST` bytes or more, about what chunks of the usual length leave
-whole of a passage of 50 words. A run is reported in parts: those whose chunks have their first place here, and the others.
+repeated chunks are joined to runs; a run counts if it has `LEAST` bytes or more. The chunks at a passage's edges are not its own,
+and few of 50 words keep less than that between them (the README has figures). A run is reported in parts: those whose chunks have their first place here, and the others.
 
 Digests are grouped with partial aggregation (a smallest and a largest place each), so a passage that a third of all
 documents share is one row a task; nothing lists a digest's places.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import load, map_batches, materialize, small, texts
 
 #: Leading bits that are zero at a cut; least and largest chunk in bytes; least run in bytes.
-BITS, SHORT, LONG, LEAST = 5, 24, 256, 120
+BITS, SHORT, LONG, LEAST = 5, 24, 256, 60
 _GEAR = np.random.default_rng(17).integers(0, 2**32, 256, dtype=np.uint32)
 
 
