@@ -71,6 +71,12 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_unfinished(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        common.components(chain, max_rounds=1)
+
+
 def test_word_hashes():
     t = "Áb  cD\tef\n" + "x" * 3_000_000 + " tail " + "y " * 700_000
     data = vectors.fold_case(t)

@@ -88,7 +88,7 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
 
     Alternating large-star and small-star rounds; every round is written to the shared folder and ends when the edges no
     longer change. A node of high degree is met by a partial aggregation and by a join that AQE can split, never by a
-    window or a collected list. Loops and repeated edges don't matter; no edges give no rows."""
+    window or a collected list. Loops and repeated edges don't matter; no edges give no rows; edges that still change after max_rounds are an error."""
     u, v = F.col("u"), F.col("v")
     e = materialize(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag
@@ -108,6 +108,8 @@ def components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataF
             star.where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(),
             tag,
         )
+    else:
+        raise RuntimeError(f"components: edges still change after {max_rounds} rounds")
     return e.select(u.alias("node"), v.alias("component")).unionByName(
         e.select(v.alias("node"), v.alias("component")).distinct()
     )
