@@ -125,10 +125,14 @@ class Index:
         tried: dict[int, int] = {}
         for shift in (0, 1):  # bands of two budgets, overlapping by one
             band = (diagonal + shift * wide) // (2 * wide)
-            key = np.unique(((item * (1 << 24) + band) << 22) + place)  # an item's q-gram counts once a band
-            key, n = np.unique(key >> 22, return_counts=True)
-            for x in key[n >= np.maximum(1, self.bound[key >> 24])]:
-                i, b = int(x >> 24), int(x & ((1 << 24) - 1))
+            order = np.lexsort((place, band, item))
+            x, y, z = item[order], band[order], place[order]
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            own = new | np.concatenate([[True], z[1:] != z[:-1]])  # an item's q-gram counts once a band
+            head = np.flatnonzero(new)
+            n = np.add.reduceat(own.astype(np.int64), head)
+            head = head[n >= np.maximum(1, self.bound[x[head]])]
+            for i, b in zip(x[head].tolist(), y[head].tolist()):
                 k, m = int(self.edits[i]), int(self.length[i])
                 low = b * 2 * (k + 1) - shift * (k + 1) - self.longest
                 a, z = max(0, low - k), min(len(data), low + 2 * (k + 1) + m + k)
