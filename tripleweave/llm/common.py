@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Words of all word-based operators: runs of anything but space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side of a join is broadcast up to so many (narrow) rows; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast up to so many bytes and rows; beyond, the join shuffles.
+BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 1_000_000
 #: Rows of an Arrow batch; texts can be long.
 BATCH_ROWS = 512
 
@@ -26,27 +27,52 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary folder only where that is unset and all
+    executors are threads of this machine."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage is cut, and a lost executor costs nothing done before."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its row count (counted here unless given) is within the limit; else as it is, so that
-    the join shuffles. df should be materialised, so that the count only reads Parquet footers."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+def clean_up(spark: SparkSession) -> None:
+    """Delete what materialize() has written in this process; results that still read it must have been written before."""
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, written down: a plan that is run twice could number rows differently."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, marked for broadcast if its rows and bytes are within the limits; else as it is, so that the join shuffles. They
+    are counted here, so df should be materialised; rows: of a table that the driver made, with short strings at most."""
+    if rows is not None:
+        return F.broadcast(df) if rows * 32 * len(df.columns) <= BROADCAST_BYTES else df
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
+        return df
+    size = functools.reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in wide], F.lit(16 * len(df.columns)))
+    n, size = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def map_batches(
@@ -131,10 +157,11 @@ def ranked(df: DataFrame, group: list[str], salt: Column, order: list[str], name
     )
 
 
-def attach(df: DataFrame, table: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, keys: list[str], copies: str, total: int, hint: str | None = None) -> DataFrame:
     """Inner join of df with table, unique by keys; table.copies counts df's rows of a key. Keys that hold over a
-    thousandth of all rows (at most 1000 of them) are broadcast, so that no hot key is shuffled; the rest shuffles."""
+    thousandth of all rows (at most 1000 of them) are broadcast, so that no hot key is shuffled; the rest shuffles (hint
+    "merge": whatever its size, so that the work grows in proportion to the input)."""
     least = max(1000, total // 1000)
-    hot = F.broadcast(table.where(F.col(copies) >= least))
-    rest = df.join(hot.select(*keys), keys, "left_anti").join(table.where(F.col(copies) < least), keys)
+    hot, cold = F.broadcast(table.where(F.col(copies) >= least)), table.where(F.col(copies) < least)
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(cold.hint(hint) if hint else cold, keys)
     return rest.unionByName(df.join(hot, keys).select(*rest.columns))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, components, load, map_batches, materialize, small, texts
+from .common import BROADCAST_ROWS, components, load, map_batches, materialize, numbered, small, texts
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
 #: Hash cells of the table of counts, its slices, the bytes of sets in one block, and one in how many shingles is sampled, in
@@ -303,7 +303,7 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without all but one row of each component: the row with the smallest id stays (of equal ids one row, of a
     component without ids one row). Only ids of rows that go are joined back."""
-    tagged = docs.withColumn("__jac_row", F.monotonically_increasing_id())
+    tagged = numbered(docs, "__jac_row")
     found = join(tagged.select(F.col("__jac_row").alias("doc_id"), "text"), k, percent)
     go = materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias("__jac_row")), "dropped")
     return tagged.join(small(go), "__jac_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

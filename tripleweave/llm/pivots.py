@@ -194,7 +194,7 @@ def near(vectors: DataFrame, least: float = 0.9, pivots: int | None = None) -> D
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("i")).cast("int"))
-    met = met.join(small(classes.select("key", "vector"), n, 100_000), "key")
+    met = met.join(small(classes.select("key", "vector")), "key")
     met = met.select("dim", "one", "two", "i", "j", "side", "key", "copies", "near", "vector")
     met = met.repartition(*GROUP).sortWithinPartitions(*GROUP)
     found = materialize(met.mapInArrow(_verify(least), "a binary, b binary, n long"), "links")
