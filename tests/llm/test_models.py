@@ -41,7 +41,7 @@ def test_toxicity(spark, odd):
         labels.append((i, 1, int(bad)))
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     d = docs_of(spark, rows)
-    model = toxicity.fit(toxicity.sample(d, lab))
+    model = toxicity.train(toxicity.sample(d, lab))
     got = {x.doc_id: x for x in toxicity.score(d, model).collect()}
     held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
     assert {i for i, x in got.items() if x.held_out} == set(held)

@@ -4,14 +4,17 @@ A word is a bag of hashed byte n-grams (3 to 6 bytes, the ends marked), so an un
 kin. The vectors of a window of words, each word once, are averaged and go through a linear softmax; vectors and softmax are trained jointly in
 numpy. A document is toxic if some window is: training starts with windows of a toxic document as positive, and then keeps as
 positive only those the model itself finds, so the neutral rest of long documents is unlearnt. A document's score is that of
-its worst window, moved so that a quarter of the sample, set apart from training, parts best at 0.5.
+its worst window, moved so that a quarter of each class's sample, set apart from training, parts best at 0.5.
 
-The fit uses a bounded sample of labelled rows (`SAMPLE` rows a class, the first by a hash of their id); all of a sampled text
-is used. Scoring is linear, so each n-gram's share of the logit is a number in a table: whole texts are scored by array
-look-ups. Only texts and toxic labels are inputs.
+The fit uses a bounded sample of labelled rows (at most `SAMPLE` rows a class, the first by a hash of id and text); all of a
+sampled text is used. It runs in one task on an executor: the driver only sees the model. Scoring is linear, so each n-gram's
+share of the logit is a number in a table: whole texts are scored by array look-ups, piece by piece, so a text of any length
+takes memory in proportion to its windows. Only texts and toxic labels are inputs.
 
-Defined results: null and empty texts get the score of a window without n-grams; no labelled rows of either class give the
-score 0 to all; labels of null documents or with null values are ignored.
+Defined results: null and empty texts get the score of a window without n-grams; fewer than two labelled rows of a class (one
+to learn from, one apart) give the score 0 to all; labels of null documents or with null values are ignored; a document with
+both labels is toxic; equal rows get equal scores; scores that tie get the same prediction; an empty table gives no rows;
+other columns, of whatever name, aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, load, map_batches, texts
+from .common import fold, load, map_batches, materialize, texts
 from .vectors import word_hashes
 
 BITS, DIM, SIZES = 19, 8, (3, 4, 5, 6)
@@ -93,6 +96,14 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float, shift: float = 0.0) -> None:
         self.table, self.bias, self.shift = table, bias, shift
 
+    def dump(self) -> bytes:
+        return np.array([self.bias, self.shift], np.float64).tobytes() + self.table.astype(np.float32).tobytes()
+
+    @classmethod
+    def load(cls, data: bytes) -> Model:
+        bias, shift = np.frombuffer(data, np.float64, 2)
+        return cls(np.frombuffer(data, np.float32, offset=16), float(bias), float(shift))
+
     def windows(self, text: str) -> np.ndarray:
         """The logit of each window."""
         out = []
@@ -135,12 +146,9 @@ def fit(rows: list[tuple[str, int]], seed: int = 5, rounds: int = 3, windows: in
     """Train on (text, toxic). Of a clean document, `windows` windows drawn at random count in a round, later also
     those that look the most toxic; of a toxic one up to four times as many in the first round, then those that the model finds."""
     rng = np.random.default_rng(seed)
-    apart = rows[::4]  # these only place the threshold
-    if sum(y for _, y in apart) < 20:
-        apart = rows
-    else:
-        rows = [x for i, x in enumerate(rows) if i % 4]
     clean, toxic = [t for t, y in rows if not y], [t for t, y in rows if y]
+    apart = [(t, 0) for t in clean[::4]] + [(t, 1) for t in toxic[::4]]  # these only place the threshold
+    clean, toxic = ([t for i, t in enumerate(x) if i % 4] for x in (clean, toxic))
     if not clean or not toxic:
         return Model(np.zeros(1 << BITS, np.float32), -50.0)
     vec = rng.normal(0, 0.05, (1 << BITS, DIM)).astype(np.float32)
@@ -210,15 +218,31 @@ def _train(data, vec, soft, bias, rng, rate, size: int = 64):
     return vec, soft.astype(np.float32), bias.astype(np.float32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> list[tuple[str, int]]:
-    """Up to about `rows` training rows a class: those with the lowest hash of their id, taken by a threshold."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """(text, y): at most `rows` training rows a class, those with the lowest hash of their id and text. Ids are first drawn
+    by a threshold that leaves twice as many as are needed on average, then rows are counted out."""
     lab = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
-    lab = lab.where(fold("__id") != 0).withColumn("__h", F.pmod(F.xxhash64(F.lit("toxic"), "__id"), F.lit(1 << 30)))
+    lab = lab.where(fold("__id") != 0).groupBy("__id").agg(F.max("__y").alias("__y"))
+    lab = lab.withColumn("__h", F.pmod(F.xxhash64(F.lit("toxic"), "__id"), F.lit(1 << 30)))
     many = {r[0]: r[1] for r in lab.groupBy("__y").count().collect()}
-    use = lab.where(" or ".join(f"(__y = {int(y)} and __h < {int(min(1, rows / n) * (1 << 30))})" for y, n in many.items()) or "false")
-    use = use.groupBy("__id").agg(F.max("__y").alias("__y"))  # at most about 2 * rows ids: a bounded sample
-    found = docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "__y")
-    return [(r[1] or "", r[2]) for r in sorted(found.collect(), key=lambda r: (r[0], r[1] or ""))]
+    use = lab.where(" or ".join(f"(__y = {int(y)} and __h < {int(min(1, 2 * rows / n) * (1 << 30))})" for y, n in many.items()) or "false")
+    found = docs.select("doc_id", "text").join(F.broadcast(use), F.col("doc_id") == F.col("__id"))  # about 4 * rows ids
+    found = found.select("text", F.col("__y").alias("y"), F.col("__h").alias("h"), F.xxhash64("text").alias("t"))
+    first = [found.where(F.col("y") == y).orderBy("h", "t").limit(rows) for y in (0, 1)]
+    return first[0].unionByName(first[1])
+
+
+def train(rows: DataFrame) -> Model:
+    """fit(), in one task: rows are a bounded sample (text, y, h, t)."""
+
+    def run(batches):
+        held = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
+        held = sorted(held, key=lambda r: r[2:])
+        yield pa.RecordBatch.from_arrays([pa.array([fit([(t or "", y) for t, y, _, _ in held]).dump()], pa.binary())], names=["model"])
+
+    one = materialize(rows.select("text", "y", "h", "t").coalesce(1).mapInArrow(run, "model binary"), "toxicity")
+    found = one.first()
+    return Model.load(bytes(found[0])) if found else fit([])
 
 
 def _scored(docs: DataFrame, model: Model, keep: list[str] | None, only_clean: bool) -> DataFrame:
@@ -250,4 +274,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: see the module. (doc_id, held_out, score, predicted)."""
     docs = load(spark, sf_dir, "documents")
-    return score(docs, fit(sample(docs, load(spark, sf_dir, "labels"))))
+    return score(docs, train(sample(docs, load(spark, sf_dir, "labels"))))
