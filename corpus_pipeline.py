@@ -15,7 +15,7 @@ from tripleweave.llm.common import load, materialize
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from labelled rows of the table `documents`."""
-    model = toxicity.fit(toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
+    model = toxicity.train(toxicity.sample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
     return toxicity.clean(docs, model)
 
 
