@@ -1,5 +1,6 @@
 """Operators 4, 6, 7, 9 and 10 against brute force, and their defined results on odd input."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -156,6 +157,29 @@ def test_keep_one_unequal_lengths(spark, monkeypatch, common_from):
     assert {x.doc_id for x in jaccard.keep_one(docs_of(spark, rows), k=5, percent=80).collect()} == want
 
 
+def test_keep_one_of_a_join(spark):
+    """Rows that come out of a shuffle are numbered once: all unique ones stay, and one of the copies."""
+    r = random.Random(12)
+    rows = [(i, prose(r, 20), None) for i in range(60)] + [(100 + i, "all the same words in this one text", None) for i in range(200)]
+    d = docs_of(spark, rows)
+    d = d.drop("source").join(d.select("doc_id", "source"), "doc_id").repartition(7, "text")
+    left = [x.doc_id for x in jaccard.keep_one(d).collect()]
+    assert sorted(i for i in left if i < 100) == list(range(60)) and len(left) == 61
+
+
+def test_jaccard_hot_passage(spark):
+    """Many texts with one passage, long ones and very long ones, and near copies among them: the hubs' classes meet in blocks."""
+    r, found = random.Random(13), []
+    passage = prose(r, 60)
+    for i in range(40):
+        t = f"{prose(r, r.choice([4, 10, 40, 2000]))} {passage} {prose(r, r.choice([0, 3, 20]))}"
+        found += [t, t + " end"] if i % 3 == 0 else [t]
+    sets = dict(enumerate(map(grams, found)))
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    got = {x.doc_id: x.component_id for x in jaccard.join(docs_of(spark, [(i, t, None) for i, t in enumerate(found)])).collect()}
+    assert got == union(links, sets) and len(links) >= 14
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.join(odd).select("doc_id", "n_shingles", "component_id").collect()
     assert len(got) == odd.count()
@@ -181,6 +205,14 @@ def water(sizes):
     return out
 
 
+def test_decontam_many_items():
+    """More items in a block than 2 ** 17, and a long item, are found alike."""
+    name = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    index = decontam.Index([(i, name(i)) for i in range(150_000)] + [(-1, "".join(map(name, range(-150_000, 0))))])
+    for i in (0, 131_071, 131_072, 149_999):
+        assert [(index.ids[x[0]], x[3]) for x in index.search(f"well, {name(i)}!")] == [(i, 0)]
+
+
 def test_mix(spark):
     r = random.Random(2)
     rows = [(i, prose(r, r.randint(1, 80)), r.choice(["a", "a", "a", "b", "c", None, "é", "Z"])) for i in range(1500)]

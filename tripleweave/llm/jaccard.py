@@ -9,15 +9,18 @@ comes from a table of counts by hash cell over all documents (any table gives th
 number of sub-classes depends on the set's size band; a set is indexed under its own band and the one above, and partners'
 bands differ by one at most.
 
-Sets that are equal form one class first. Classes that share a signature form candidate clusters (components of the graph
-signature - class). In a cluster, sets of one size band and the one below meet in blocks of bounded bytes, first by a fixed
-sample of their shingles: a partner lacks at most floor((1-t)|x|) shingles of x, so more missing in the sample rule a pair out
-for certain. What isn't ruled out forms smaller clusters, whose whole sets meet in the same way; links' components give the
-result. In a block only links that join something new leave the task: no list of all pairs is made, none is lost, nothing is
-capped. Prints of sets have 128 bits; the graphs run on their first 64.
+Sets that are equal form one class first, and the classes that share a signature are its list. A list's hub is its smallest
+set. Lists are verified twice. First every class is compared with one hub, that of which its lists speak most (a list of m
+classes with weight 1/m): one comparison a class, whatever the lists' lengths, which joins large groups of near copies.
+Then only lists whose classes are still in several groups are left, and those with one hub are taken together: their classes
+meet in blocks of bounded bytes, those of one group not again, and a link counts if it joins something new. So every pair
+that shares a signature is either compared or joined already: no list of pairs is made, none is lost, nothing is capped.
+Prints of sets have 128 bits; the graphs run on their first 64.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; equal rows fall into one class; a row
-with a null id takes part, and a component's id is its smallest id that isn't null; an empty table gives no rows.
+with a null id takes part, and a component's id is its smallest id that isn't null; texts of any length are hashed piece by
+piece into one set; other columns, of whatever name, stay as they were in keep_one() and aren't read in join(); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,12 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, components, load, map_batches, materialize, numbered, small, texts
+from .common import components, load, map_batches, materialize, numbered, small, texts
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
-#: Hash cells of the table of counts, its slices, the bytes of sets in one block, and one in how many shingles is sampled, in
-#: sets of how many or more.
-CELL_BITS, SLICES, BLOCK_BYTES, SAMPLED, LARGE = 24, 256, 24 << 20, 4, 64
+#: Hash cells of the table of counts, its slices, the bytes of sets in one block, and the prints a task keeps in mind.
+CELL_BITS, SLICES, BLOCK_BYTES, KEPT = 24, 256, 16 << 20, 100_000
 
 
 def _band_width(percent: int) -> float:
@@ -147,20 +149,25 @@ def _node(p: bytes | None) -> int | None:
 
 
 def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, print, node, n_shingles, signatures) of every row; an empty set has no print. node: the print's first half."""
+    """(doc_id, print, node, n_shingles, signatures) of every row; an empty set has no print. node: the print's first half.
+    A set that the task has seen before (as far as it keeps prints) has no signatures: its class has them already."""
 
     table, common = docs.sparkSession.sparkContext.broadcast(levels), common_level(levels)
 
     def start():
-        levels = table.value
+        levels, seen = table.value, set()
 
         def work(batch: pa.RecordBatch) -> dict:
             prints, sizes, sigs = [], [], []
             for t in texts(batch):
                 s = shingles(word_hashes(fold_case(t)), k)
+                p = _prints(s) if len(s) else None
                 sizes.append(len(s))
-                prints.append(_prints(s) if len(s) else None)
-                sigs.append(signatures(s, levels, common, percent).view(np.int64) if len(s) > 1 else [])
+                prints.append(p)
+                sigs.append(signatures(s, levels, common, percent).view(np.int64) if len(s) > 1 and p not in seen else [])
+                if len(seen) >= KEPT:
+                    seen.clear()
+                seen.add(p)
             return {"print": prints, "node": [_node(x) for x in prints], "n_shingles": sizes, "signatures": sigs}
 
         return work
@@ -169,125 +176,165 @@ def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame
     return map_batches(docs.select("doc_id", "text"), start, new, ["doc_id"])
 
 
-def _edges(found: DataFrame) -> DataFrame:
-    """(a, b): of each signature that several classes share, its smallest class and each other class."""
-    sig = found.select("node", F.explode("signatures").alias("sig"))
-    many = sig.groupBy("sig").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").select("sig", "hub")
-    many = small(materialize(many, "signatures"))
-    return sig.join(many, "sig").where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+def _lists(found: DataFrame) -> DataFrame:
+    """(sig, node, hub, center, many), each once: the classes of each signature that several share, its smallest set as a
+    number and as a class, and about how many they are. Hubs that fall on one number by chance only meet each other too."""
+    key = F.shiftleft(F.least("n_shingles", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
+    sig = found.select(F.explode("signatures").alias("sig"), "node", key.alias("key"))
+    many = sig.groupBy("sig").agg(F.min("key").alias("hub"), F.min_by("node", "key").alias("center"), F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("many"))
+    many = materialize(many.where("least != last").select("sig", "hub", "center", "many"), "signatures")
+    return materialize(sig.drop("key").join(small(many), "sig").distinct(), "lists")
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs with one of the ids (materialised): texts are shuffled only beyond the broadcast bound."""
-    return docs.select("doc_id", "text").join(small(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-
-def _sampled(s: np.ndarray, part: int) -> np.ndarray:
-    return mix(s) % U(part) == 0
-
-
-def _sets(docs: DataFrame, member: DataFrame, k: int, part: int) -> DataFrame:
-    """(node, cluster, n, set) of the members (node, cluster, doc_id, n; materialised): texts are read again by one id of each
-    class. part: a set of LARGE or more keeps the shingles whose mixed hash is 0 modulo part."""
+def _sets(docs: DataFrame, found: DataFrame, lists: DataFrame, k: int) -> DataFrame:
+    """(node, n, set) of the classes in lists; texts are read again by one id of each class."""
+    ids = found.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ids = materialize(ids.select("doc_id").distinct(), "ids")
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
             found = [shingles(word_hashes(fold_case(t)), k) for t in texts(batch)]
-            nodes = [_node(_prints(s)) if len(s) else None for s in found]
-            if part > 1:
-                found = [s if len(s) < LARGE else s[_sampled(s, part)] for s in found]
-            return {"node": nodes, "set": [s.tobytes() for s in found]}
+            return {"node": [_node(_prints(s)) if len(s) else None for s in found], "n": [len(s) for s in found], "set": [s.tobytes() for s in found]}
 
         return work
 
-    new = [T.StructField("node", T.LongType()), T.StructField("set", T.BinaryType())]
-    again = map_batches(_chosen(docs, materialize(member.select("doc_id").distinct(), "ids")), start, new, [])
-    return again.join(small(member.select("node", "cluster", "n")), "node")
-
-
-def _verify(percent: int, part: int):
-    """Links among the sets of one group (cluster, band, i, j): of the band's sets in block i with those of block j and of the
-    band below. part 1: by their similarity; else pairs whose sampled shingles don't rule it out. A small set is held whole,
-    and against a sampled one only its sampled shingles can be missed."""
-    whole = part == 1
-
-    def run(key, pdf):
-        import pandas as pd
-
-        if pdf["node"].nunique() < 2:
-            return pd.DataFrame([], columns=["a", "b"])
-        pdf = pdf.drop_duplicates(["node", "side", "low"])  # equal rows
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
-        sizes, n = np.array([len(x) for x in sets], np.int64), pdf["n"].to_numpy()
-        vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.cumsum(sizes)
-        side, low, node = pdf["side"].to_numpy(), pdf["low"].to_numpy(), pdf["node"].to_numpy()
-        own = key[2] == key[3]
-        loss = n * (100 - percent) // 100
-        out, label = [], np.unique(node, return_inverse=True)[1]
-        # inverted lists: which sets hold a shingle; shingles of one set alone are left out
-        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(at, kind="stable")]
-        many = np.bincount(at, minlength=len(vocab))
-        first = np.cumsum(many) - many
-        seen = sizes if whole else np.array([np.count_nonzero(_sampled(x, part)) for x in sets], np.int64)  # what a sampled partner could hold
-        for r in np.flatnonzero(side == 0):
-            mine = at[ends[r] - sizes[r] : ends[r]]
-            mine = mine[many[mine] > 1]
-            span = np.repeat(first[mine] - np.cumsum(many[mine]) + many[mine], many[mine]) + np.arange(many[mine].sum())
-            both = np.bincount(owner[span], minlength=len(sets))
-            ok = (both > 0) | (not whole)  # a sample can be so small that it rules nothing out
-            ok &= (label != label[r]) & (side == (0 if own else 1)) & ~(low & low[r])
-            if own:
-                ok[: r + 1] = False
-            rest = np.flatnonzero(ok & (100 * n >= percent * n[r]) & (percent * n <= 100 * n[r]))
-            if not len(rest):
+    chosen = docs.select("doc_id", "text").join(small(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    new = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType())]
+    return materialize(map_batches(chosen, start, new, []).dropDuplicates(["node"]), "sets")
+
+
+def _groups(batches, names: list[str]):
+    """Of batches sorted by names: (values of names, columns as lists) piece by piece; a group can come in several pieces."""
+    for batch in batches:
+        columns = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names)}
+        keys = list(zip(*[columns[n] for n in names]))
+        a = 0
+        while a < len(keys):
+            z = a + 1
+            while z < len(keys) and keys[z] == keys[a]:
+                z += 1
+            yield keys[a], {c: v[a:z] for c, v in columns.items()}
+            a = z
+
+
+def _pairs_out(pairs: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _stars(sets: DataFrame, best: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links among (node, hub); best: one hub a node. A hub of many nodes is dealt over several tasks."""
+    load_ = best.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes")).withColumn("parts", F.ceil(F.col("nodes") / 512).cast("int")).select("hub", "parts")
+    load_ = materialize(load_, "hubs")
+    best = best.join(small(load_), "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    own = sets.join(best.select("node", "hub", "part"), "node").select("hub", "part", F.lit(1).alias("side"), "node", "n", "set")
+    hubs = load_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    hubs = sets.join(hubs.withColumnRenamed("hub", "node").select("node", "part"), "node").select(F.col("node").alias("hub"), "part", F.lit(0).alias("side"), "node", "n", "set")
+
+    def run(batches):
+        name, center = None, None
+        for now, x in _groups(batches, ["hub", "part"]):
+            out = []
+            for side, node, raw in zip(x["side"], x["node"], x["set"]):
+                s = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    name, center = now, s
+                    continue
+                if percent * max(len(s), len(center)) <= 100 * min(len(s), len(center)):
+                    at = np.minimum(np.searchsorted(center, s), len(center) - 1)
+                    both = int(np.count_nonzero(center[at] == s))
+                    if 100 * both >= percent * (len(s) + len(center) - both):
+                        out.append((name[0], node))
+            if out:
+                yield _pairs_out(out)
+
+    both = own.unionByName(hubs).repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
+    return materialize(both.mapInArrow(run, "a long, b long"), "stars")
+
+
+def _verify(block: dict, own: bool, percent: int) -> list[tuple[int, int]]:
+    """The links among the classes of one hub (node, group, n, set, side) that join something new: within the block (own) or of
+    side 0 with side 1."""
+    order = np.argsort(np.array(block["n"]), kind="stable")
+    n, node = np.array(block["n"])[order], np.array(block["node"])[order]
+    label = np.unique(np.array(block["group"])[order], return_inverse=True)[1]
+    if label.min() == label.max():
+        return []
+    side = np.array(block["side"])[order]
+    sets = [np.frombuffer(block["set"][i], np.uint64) for i in order]
+    vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(n)
+    # inverted lists: which sets hold a shingle; shingles of one set alone are left out
+    owner = np.repeat(np.arange(len(sets)), n)[np.argsort(at, kind="stable")]
+    many = np.bincount(at, minlength=len(vocab))
+    first = np.cumsum(many) - many
+    out = []
+    low = np.searchsorted(100 * n, percent * n)  # the smallest partner of each
+    for r in range(1, len(sets)):
+        rest = np.arange(low[r], r)
+        rest = rest[(label[rest] != label[r]) & (own | (side[rest] != side[r]))]
+        if not len(rest):
+            continue
+        mine = at[ends[r] - n[r] : ends[r]]
+        mine = mine[many[mine] > 1]
+        span = np.repeat(first[mine] - np.cumsum(many[mine]) + many[mine], many[mine]) + np.arange(many[mine].sum())
+        both = np.bincount(owner[span], minlength=len(sets))[rest]
+        for x in rest[100 * both >= percent * (n[r] + n[rest] - both)]:
+            if label[r] != label[x]:
+                label[label == label[x]] = label[r]
+                out.append((int(node[x]), int(node[r])))
+    return out
+
+
+def _rest(sets: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links within lists whose classes are in several groups (node, group; a class without is its own group),
+    by hub. A hub's classes that are too many for a task are cut into blocks that meet in pairs."""
+    member = lists.select("sig", "node", "hub").join(small(groups), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    left = member.groupBy("sig").agg(F.min("group").alias("g"), F.max("group").alias("z")).where("g != z").select("sig")
+    member = materialize(member.join(small(materialize(left, "lists-left")), "sig").select("hub", "node", "group").distinct(), "met")
+    size = member.join(small(materialize(sets.select("node", F.octet_length("set").alias("bytes")), "sizes")), "node").groupBy("hub").agg(F.sum("bytes").alias("bytes"))
+    blocks = size.select("hub", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    rows = member.join(small(materialize(blocks, "blocks")), "hub")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "group")
+    rows = sets.join(rows, "node").select("hub", "i", "j", "side", "node", "group", "n", "set")
+
+    def run(batches):
+        name, held = None, {}
+
+        def done():
+            return _verify(held, name[1] == name[2], percent) if name and len(held["node"]) > 1 else []
+
+        for now, x in _groups(batches, ["hub", "i", "j"]):
+            if now == name:
+                held = {c: held[c] + x[c] for c in held}
                 continue
-            if whole:
-                good = 100 * both[rest] >= percent * (n[r] + n[rest] - both[rest])
-            else:
-                mine, theirs = np.where(n[rest] < LARGE, sizes[r], seen[r]), (sizes if n[r] < LARGE else seen)[rest]
-                good = (mine - both[rest] <= loss[r]) & (theirs - both[rest] <= loss[rest])
-            for x in rest[good]:
-                if label[r] != label[x]:
-                    label[label == label[x]] = label[r]
-                    out.append((node[r], node[x]))
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return run
-
-
-def _links(docs: DataFrame, member: DataFrame, k: int, percent: int, part: int) -> DataFrame:
-    """(a, b): links of the members within their clusters. Sets that link are in one size band or in neighbouring ones, so a
-    set goes to two bands at most; a band of a cluster that is too large for a task is cut into blocks that meet in pairs."""
-    band = F.floor(F.log(F.col("n").cast("double")) / _band_width(percent) + 1e-9).cast("int")
-    member = member.withColumn("band", band)
-    both = member.select("cluster", "n", F.col("band").alias("own"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    size = F.sum(F.when(F.col("n") < LARGE, F.col("n") * 8).otherwise(F.col("n") * 8 / part))
-    # a band with nothing to compare isn't dealt out
-    blocks = materialize(both.groupBy("cluster", "band").agg(
-        F.greatest(F.ceil(size / BLOCK_BYTES).cast("int"), F.lit(1)).alias("blocks"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("own") == F.col("band")).alias("here")
-    ).where("all > 1 and here > 0").select("cluster", "band", "blocks"), "blocks")
-    sets = _sets(docs, member, k, part).withColumn("own_band", band)
-    sets = sets.withColumn("band", F.explode(F.array("own_band", F.col("own_band") + 1))).withColumn("low", F.col("band") > F.col("own_band"))
-    sets = sets.join(small(blocks), ["cluster", "band"])
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("i")).cast("int"))
-    sets = sets.select("cluster", "band", "i", "j", "side", "low", "node", "n", "set")
-    return materialize(sets.groupBy("cluster", "band", "i", "j").applyInPandas(_verify(percent, part), "a long, b long"), "links")
+            out = done()
+            if out:
+                yield _pairs_out(out)
+            name, held = now, x
+        out = done()
+        if out:
+            yield _pairs_out(out)
+
+    return materialize(rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long"), "links")
+
+
+def _links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, root): the components of all links between classes; a class without a link isn't there."""
+    lists = _lists(found)
+    sets = _sets(docs, found, lists, k)
+    met = lists.where("node != center").groupBy("node", "center").agg(F.sum(1 / F.col("many")).alias("weight"))
+    best = materialize(met.groupBy("node").agg(F.max_by("center", "weight").alias("hub")), "best")
+    near = _stars(sets, best, percent)
+    groups = materialize(components(near).select("node", F.col("component").alias("group")), "groups")
+    more = _rest(sets, lists, groups, percent)
+    return materialize(components(near.unionByName(more)).select("node", F.col("component").cast("string").alias("root")), "roots")
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id, print) of every row of docs; linked: 100 * intersection >= percent * union."""
     found = materialize(scan(docs, k, percent, cell_levels(docs, k)), "jaccard")
-    def members(edges: DataFrame) -> DataFrame:
-        cluster = materialize(components(edges).select("node", F.col("component").alias("cluster")), "clusters")
-        one = found.select("node", "doc_id", "n_shingles").join(small(cluster), "node")
-        return materialize(one.groupBy("node", "cluster").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "members")
-
-    likely = _links(docs, members(_edges(found)), k, percent, SAMPLED)
-    links = _links(docs, members(likely), k, percent, 1)
-    label = materialize(components(links).select("node", F.col("component").cast("string").alias("root")), "roots")
+    label = _links(docs, found, k, percent)
     rows = found.select("doc_id", "print", "node", "n_shingles")
     some, none = rows.where("print is not null"), rows.where("print is null")  # an empty set stands alone
     some = some.join(small(label), "node", "left").withColumn("root", F.coalesce("root", F.hex("print")))
