@@ -15,7 +15,9 @@ classes with weight 1/m): one comparison a class, whatever the lists' lengths, w
 Then only lists whose classes are still in several groups are left, and those with one hub are taken together: their classes
 meet in blocks of bounded bytes, those of one group not again, and a link counts if it joins something new. So every pair
 that shares a signature is either compared or joined already: no list of pairs is made, none is lost, nothing is capped.
-Prints of sets have 128 bits; the graphs run on their first 64.
+Both times the tasks first get sets as 16 bits a shingle, whose common members (with repeats) are no fewer than those of the
+sets themselves; whole sets are sent only of classes that this leaves a partner. Prints of sets have 128 bits; the graphs run
+on their first 64.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; equal rows fall into one class; a row
 with a null id takes part, and a component's id is its smallest id that isn't null; texts of any length are hashed piece by
@@ -187,20 +189,30 @@ def _lists(found: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, found: DataFrame, lists: DataFrame, k: int) -> DataFrame:
-    """(node, n, set) of the classes in lists; texts are read again by one id of each class."""
+    """(node, n, set, short) of the classes in lists; texts are read again by one id of each class, and equal rows come again.
+    short: the last 16 bits of each shingle, sorted."""
     ids = found.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = materialize(ids.select("doc_id").distinct(), "ids")
 
     def start():
         def work(batch: pa.RecordBatch) -> dict:
             found = [shingles(word_hashes(fold_case(t)), k) for t in texts(batch)]
-            return {"node": [_node(_prints(s)) if len(s) else None for s in found], "n": [len(s) for s in found], "set": [s.tobytes() for s in found]}
+            short = [np.sort(s.astype(np.uint16)).tobytes() for s in found]
+            return {"node": [_node(_prints(s)) if len(s) else None for s in found], "n": [len(s) for s in found], "set": [s.tobytes() for s in found], "short": short}
 
         return work
 
     chosen = docs.select("doc_id", "text").join(small(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    new = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType())]
-    return materialize(map_batches(chosen, start, new, []).dropDuplicates(["node"]), "sets")
+    new = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set", T.BinaryType()), T.StructField("short", T.BinaryType())]
+    return materialize(map_batches(chosen, start, new, []), "sets")
+
+
+def _members(raw: bytes, whole: bool) -> np.ndarray:
+    """A set's members, sorted; of a short form with a number for each repeat, so that common members count with repeats."""
+    if whole:
+        return np.frombuffer(raw, np.uint64)
+    v = np.frombuffer(raw, np.uint16).astype(np.int64)
+    return (v << 32) + np.arange(len(v)) - np.searchsorted(v, v)
 
 
 def _groups(batches, names: list[str]):
@@ -221,21 +233,23 @@ def _pairs_out(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def _stars(sets: DataFrame, best: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links among (node, hub); best: one hub a node. A hub of many nodes is dealt over several tasks."""
-    load_ = best.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes")).withColumn("parts", F.ceil(F.col("nodes") / 512).cast("int")).select("hub", "parts")
-    load_ = materialize(load_, "hubs")
-    best = best.join(small(load_), "hub").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    own = sets.join(best.select("node", "hub", "part"), "node").select("hub", "part", F.lit(1).alias("side"), "node", "n", "set")
-    hubs = load_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    hubs = sets.join(hubs.withColumnRenamed("hub", "node").select("node", "part"), "node").select(F.col("node").alias("hub"), "part", F.lit(0).alias("side"), "node", "n", "set")
+def _stars(sets: DataFrame, best: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b): hub and node of best (node, hub), one hub a node, whose sets (or short forms) are similar enough. A hub of many
+    nodes is dealt over several tasks."""
+    hubs = best.groupBy("hub").agg(F.count(F.lit(1)).alias("nodes")).select("hub", F.ceil(F.col("nodes") / 512).cast("int").alias("parts"))
+    hubs = materialize(hubs, "hubs")
+    best = best.join(small(hubs), "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    sets = sets.select("node", F.col("set" if whole else "short").alias("set"))
+    own = sets.join(small(materialize(best, "stars-of")), "node").select("hub", "part", F.lit(1).alias("side"), "node", "set")
+    hubs = hubs.select(F.col("hub").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    hubs = sets.join(small(materialize(hubs, "hub-parts")), "node").select(F.col("node").alias("hub"), "part", F.lit(0).alias("side"), "node", "set")
 
     def run(batches):
         name, center = None, None
         for now, x in _groups(batches, ["hub", "part"]):
             out = []
             for side, node, raw in zip(x["side"], x["node"], x["set"]):
-                s = np.frombuffer(raw, np.uint64)
+                s = _members(raw, whole)
                 if side == 0:
                     name, center = now, s
                     continue
@@ -251,23 +265,23 @@ def _stars(sets: DataFrame, best: DataFrame, percent: int) -> DataFrame:
     return materialize(both.mapInArrow(run, "a long, b long"), "stars")
 
 
-def _verify(block: dict, own: bool, percent: int) -> list[tuple[int, int]]:
-    """The links among the classes of one hub (node, group, n, set, side) that join something new: within the block (own) or of
-    side 0 with side 1."""
+def _verify(block: dict, percent: int, whole: bool) -> list[tuple[int, int]]:
+    """Of the classes of one hub (node, group, n, set, side), or of two blocks of them, those of a block only with the other's:
+    the links that join something new; or, of short forms, (hub, node) of all that may have a partner in another group."""
     order = np.argsort(np.array(block["n"]), kind="stable")
     n, node = np.array(block["n"])[order], np.array(block["node"])[order]
     label = np.unique(np.array(block["group"])[order], return_inverse=True)[1]
     if label.min() == label.max():
         return []
-    side = np.array(block["side"])[order]
-    sets = [np.frombuffer(block["set"][i], np.uint64) for i in order]
+    side, own = np.array(block["side"])[order], block["i"][0] == block["j"][0]
+    sets = [_members(block["set"][i], whole) for i in order]
     vocab, at = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(n)
     # inverted lists: which sets hold a shingle; shingles of one set alone are left out
     owner = np.repeat(np.arange(len(sets)), n)[np.argsort(at, kind="stable")]
     many = np.bincount(at, minlength=len(vocab))
     first = np.cumsum(many) - many
-    out = []
+    out, hit = [], np.zeros(len(sets), bool)
     low = np.searchsorted(100 * n, percent * n)  # the smallest partner of each
     for r in range(1, len(sets)):
         rest = np.arange(low[r], r)
@@ -278,31 +292,33 @@ def _verify(block: dict, own: bool, percent: int) -> list[tuple[int, int]]:
         mine = mine[many[mine] > 1]
         span = np.repeat(first[mine] - np.cumsum(many[mine]) + many[mine], many[mine]) + np.arange(many[mine].sum())
         both = np.bincount(owner[span], minlength=len(sets))[rest]
-        for x in rest[100 * both >= percent * (n[r] + n[rest] - both)]:
+        good = rest[100 * both >= percent * (n[r] + n[rest] - both)]
+        hit[good] = True
+        hit[r] |= len(good) > 0
+        for x in good if whole else ():
             if label[r] != label[x]:
                 label[label == label[x]] = label[r]
                 out.append((int(node[x]), int(node[r])))
-    return out
+    return out if whole else [(block["hub"][0], int(x)) for x in node[hit]]
 
 
-def _rest(sets: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the links within lists whose classes are in several groups (node, group; a class without is its own group),
-    by hub. A hub's classes that are too many for a task are cut into blocks that meet in pairs."""
-    member = lists.select("sig", "node", "hub").join(small(groups), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    left = member.groupBy("sig").agg(F.min("group").alias("g"), F.max("group").alias("z")).where("g != z").select("sig")
-    member = materialize(member.join(small(materialize(left, "lists-left")), "sig").select("hub", "node", "group").distinct(), "met")
-    size = member.join(small(materialize(sets.select("node", F.octet_length("set").alias("bytes")), "sizes")), "node").groupBy("hub").agg(F.sum("bytes").alias("bytes"))
+def _meet(sets: DataFrame, member: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """_verify() of the members (hub, node, group) of each hub; those that are too many for a task are cut into blocks that meet
+    in pairs."""
+    sets = sets.select("node", "n", F.col("set" if whole else "short").alias("set"))
+    size = member.join(small(materialize(sets.select("node", F.octet_length("set").alias("bytes")), "sizes")), "node").groupBy("hub")
+    size = size.agg(F.sum("bytes").alias("bytes"), F.min("group").alias("g"), F.max("group").alias("z")).where("g != z")
     blocks = size.select("hub", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
     rows = member.join(small(materialize(blocks, "blocks")), "hub")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "group")
-    rows = sets.join(rows, "node").select("hub", "i", "j", "side", "node", "group", "n", "set")
+    rows = sets.join(small(materialize(rows, "meet")), "node").select("hub", "i", "j", "side", "node", "group", "n", "set")
 
     def run(batches):
         name, held = None, {}
 
         def done():
-            return _verify(held, name[1] == name[2], percent) if name and len(held["node"]) > 1 else []
+            return _verify(held, percent, whole) if name and len(held["node"]) > 1 else []
 
         for now, x in _groups(batches, ["hub", "i", "j"]):
             if now == name:
@@ -319,13 +335,24 @@ def _rest(sets: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) ->
     return materialize(rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "a long, b long"), "links")
 
 
+def _rest(sets: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links within lists whose classes are in several groups (node, group; a class without is its own group),
+    by hub."""
+    member = lists.select("sig", "node", "hub").join(small(groups), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    left = member.groupBy("sig").agg(F.min("group").alias("g"), F.max("group").alias("z")).where("g != z").select("sig")
+    member = materialize(member.join(small(materialize(left, "lists-left")), "sig").select("hub", "node", "group").distinct(), "met")
+    likely = _meet(sets, member, percent, False).select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
+    return _meet(sets, materialize(member.join(small(materialize(likely, "likely")), ["hub", "node"]), "met"), percent, True)
+
+
 def _links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root): the components of all links between classes; a class without a link isn't there."""
     lists = _lists(found)
     sets = _sets(docs, found, lists, k)
     met = lists.where("node != center").groupBy("node", "center").agg(F.sum(1 / F.col("many")).alias("weight"))
     best = materialize(met.groupBy("node").agg(F.max_by("center", "weight").alias("hub")), "best")
-    near = _stars(sets, best, percent)
+    likely = _stars(sets, best, percent, False).select(F.col("b").alias("node"), F.col("a").alias("hub"))
+    near = _stars(sets, likely, percent, True)
     groups = materialize(components(near).select("node", F.col("component").alias("group")), "groups")
     more = _rest(sets, lists, groups, percent)
     return materialize(components(near.unionByName(more)).select("node", F.col("component").cast("string").alias("root")), "roots")
