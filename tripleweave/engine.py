@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.exprs import Expressions, QueryError, compare, ebv, literal, number, of_double, of_int, of_text  # noqa: F401
+from .functions.exprs import Expressions, QueryError, compare, ebv, literal, number, of_double, of_int, of_text, of_wide  # noqa: F401
 from .mapping import Mapping, RefMap, TermMap, TriplesMap
 from .operators import paths
 from .sparql import ast as A
@@ -31,6 +31,20 @@ class Catalog:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     keys: dict[str, list[frozenset[str]]] = field(default_factory=dict)
+    filled: dict[str, set[str]] = field(default_factory=dict)
+
+    @classmethod
+    def from_spark(cls, spark: SparkSession, mapping: Mapping, keys: dict[str, list[tuple[str, ...]]] | None = None) -> Catalog:
+        """The tables that a mapping names, from the session's catalog, and their NOT NULL columns. keys: of tables and of views
+        ("view:<sql>"), which Spark's catalog doesn't know."""
+        cat = cls(spark)
+        for m in mapping.maps.values():
+            if m.source is not None:
+                cat.declare_filled(m.source, *[f.name for f in cat.frame(m).schema.fields if not f.nullable])
+        for source, found in (keys or {}).items():
+            for k in found:
+                cat.declare_key(source, *k)
+        return cat
 
     def add(self, name: str, df: DataFrame, *keys: tuple[str, ...]) -> Catalog:
         self.tables[name.lower()] = df
@@ -42,6 +56,22 @@ class Catalog:
     def declare_key(self, source: str, *columns: str) -> None:
         """The columns (of a table, or of "view:<sql>") are unique and not null."""
         self.keys.setdefault(source.lower(), []).append(frozenset(c.lower() for c in columns))
+        self.declare_filled(source, *columns)
+
+    def declare_filled(self, source: str, *columns: str) -> None:
+        """The columns hold no nulls."""
+        self.filled.setdefault(source.lower(), set()).update(c.lower() for c in columns)
+
+    def verify(self) -> list[str]:
+        """What the data contradict: sources whose declared key is null in a row or repeats."""
+        wrong = []
+        for source, keys in self.keys.items():
+            for k in keys if source in self.tables else ():
+                cols = [_c(c) for c in sorted(k)]
+                null = functools.reduce(lambda a, b: a | b, [c.isNull() for c in cols])
+                if not self.tables[source].groupBy(*cols).count().where(null | (F.col("count") > 1)).isEmpty():
+                    wrong.append(f"{source}: {', '.join(sorted(k))}")
+        return wrong
 
     def frame(self, m: TriplesMap) -> DataFrame:
         if m.source is None:
@@ -51,6 +81,9 @@ class Catalog:
             self.tables[key] = self.spark.sql(m.sql) if m.sql is not None else self.spark.table(m.table)
         return self.tables[key]
 
+    def never_null(self, m: TriplesMap, column: str) -> bool:
+        return column.lower() in self.filled.get((m.source or "").lower(), ())
+
     def unique(self, m: TriplesMap, columns) -> bool:
         have = {c.lower() for c in columns}
         return any(k <= have for k in self.keys.get((m.source or "").lower(), []))
@@ -61,18 +94,19 @@ class Rel:
     df: DataFrame
     vars: dict[str, Info]
 
-    def value(self, v: str) -> Value:
-        info, lex = self.vars[v], F.col(f"`v_{v}`")
+    def value(self, v: str, prefix: str = "") -> Value:
+        info, lex = self.vars[v], F.col(f"`{prefix}v_{v}`")
         if info.tag is None:
-            return Value(lex, F.col(f"`t_{v}`"))
+            return Value(lex, F.col(f"`{prefix}t_{v}`"))
         d = datatype_of(info.tag)
-        kept = None
+        kept, wide = None, False
         if info.native and info.native.shape is None and info.tag[0] == "D":
             raw = F.col(f"`{info.native.columns[0]}`")
             kept = raw if d in NUMERIC | TEMPORAL | {XSD + "boolean"} and info.native.types[0] != "string" else None
+            wide = d in INTEGRAL and info.native.types[0].startswith("decimal")
         if kept is None and d and d != RDF + "langString":
             kept = typed(lex, d)
-        return Value(lex, info.tag, kept)
+        return Value(lex, info.tag, kept, wide)
 
     def scope(self) -> dict[str, Value]:
         return {v: self.value(v) for v in self.vars}
@@ -116,7 +150,7 @@ class Engine:
         for v in rel.vars:
             x = rel.value(v)
             d = datatype_of(x.static)
-            out.append((typed(x.lex, d) if x.typed is None else x.typed if d not in INTEGRAL else x.typed.cast("bigint")).alias(v) if typed_results and d else x.lex.alias(v))
+            out.append((typed(x.lex, d) if x.typed is None else x.typed if d not in INTEGRAL or x.wide else x.typed.cast("bigint")).alias(v) if typed_results and d else x.lex.alias(v))
         return rel.df.select(*out)
 
     def _names(self, g) -> list[str]:
@@ -138,10 +172,9 @@ class Engine:
         for v, e in items:
             if e is not None:
                 rel = self._extend(rel, v.name, e, found)
-        if q.having:
-            x = self._expressions(rel, found)
-            for h in q.having:
-                rel = Rel(rel.df.where(x.boolean(h)), rel.vars)
+        for h in q.having:
+            inside, h = self._with_exists(rel, h)
+            rel = Rel(inside.df.where(self._expressions(inside, found).boolean(h)), rel.vars)
         if ask:
             return rel
         keep = {v.name: rel.vars.get(v.name) for v, _ in items}
@@ -154,10 +187,14 @@ class Engine:
             rel = self._project(rel, list(keep))
             rel = Rel(rel.df.select(*[_c(c) for v, i in rel.vars.items() for c in _cols(v, i)]).distinct(), rel.vars)
         if q.order_by:
-            x, keys = self._expressions(rel, found), []
+            inside, keys, names = rel, [], []
             for e, down in q.order_by:
+                inside, e = self._with_exists(inside, e)
+                names.append((e, down))
+            x = self._expressions(inside, found)
+            for e, down in names:
                 keys += [(k.desc() if down else k.asc()) for k in self._order(x.value(e))]
-            rel = Rel(rel.df.orderBy(*keys), rel.vars)
+            rel = Rel(inside.df.orderBy(*keys), rel.vars)
         df = rel.df
         if q.offset:
             df = df.offset(q.offset)
@@ -231,8 +268,8 @@ class Engine:
             elif a.name == "SUM":
                 if datatype_of(value.static) in INTEGRAL:
                     n = (value.typed if value.typed is not None else typed(value.lex, XSD + "integer")).cast("decimal(38,0)")
-                    out = [("l", F.coalesce(F.sum_distinct(n) if a.distinct else F.sum(n), F.lit(0)))]
-                    make = lambda c: of_int(c("l"))
+                    out = [("l", F.coalesce(F.sum_distinct(n) if a.distinct else F.sum(n), F.lit(0)).cast("decimal(38,0)"))]
+                    make = lambda c: of_wide(c("l"))
                 else:
                     n = number(value)
                     out = [("l", F.coalesce(F.sum_distinct(n) if a.distinct else F.sum(n), F.lit(0.0)))]
@@ -263,10 +300,17 @@ class Engine:
                 make = lambda c: of_text(c("l"))
             outs += [c.alias(f"{name}{suffix}") for suffix, c in out]
             made[a] = make(lambda s, name=name: _c(name + s))
-        cols = [c for k in keys for c in _cols(k, replace(rel.vars[k], native=None))]
-        carry = [F.first(_c(c)).alias(c) for k in keys if rel.vars[k].native for c in rel.vars[k].native.columns]
+        whole = {"tinyint", "smallint", "int", "bigint"}
+        # whole numbers fix a term both ways: groups go by them, and its text is made anew for each group
+        short = [k for k in dict.fromkeys(keys) if self.native and rel.vars[k].tag and rel.vars[k].native and set(rel.vars[k].native.types) <= whole]
+        cols = [c for k in dict.fromkeys(keys) for c in (rel.vars[k].native.columns if k in short else _cols(k, replace(rel.vars[k], native=None)))]
+        carry = [F.first(_c(c)).alias(c) for k in keys if rel.vars[k].native and k not in short for c in rel.vars[k].native.columns]
         # a variable's native columns fix its lexical form, so they can be carried along
         df = rel.df.groupBy(*[_c(c) for c in cols]).agg(*(outs + carry or [F.count(F.lit(1)).alias("a_none")])) if keys else rel.df.agg(*(outs or [F.count(F.lit(1)).alias("a_none")]))
+        for k in short:
+            nat = rel.vars[k].native
+            shape = nat.shape or ("",) * (len(nat.columns) + 1)
+            df = df.withColumn(f"v_{k}", F.concat(F.lit(shape[0]), *[x for c, t in zip(nat.columns, shape[1:]) for x in (_c(c).cast("string"), F.lit(t))]))
         return Rel(df, {k: rel.vars[k] for k in keys}), made
 
     def _construct(self, q: A.Query) -> DataFrame:
@@ -372,23 +416,57 @@ class Engine:
         if isinstance(e, A.Binary) and e.op == "&&":
             return self._filter(self._filter(rel, e.left), e.right)
         if isinstance(e, A.Exists):
-            return self._semi(rel, self.group(e.group), e.negated)
+            return self._semi(rel, *self._body(e.group, rel), e.negated)
         if isinstance(e, A.Unary) and e.op == "!" and isinstance(e.arg, A.Exists):
-            return self._semi(rel, self.group(e.arg.group), not e.arg.negated)
+            return self._semi(rel, *self._body(e.arg.group, rel), not e.arg.negated)
         names = rel.vars
         rel, e = self._with_exists(rel, e)
         return Rel(rel.df.where(self._expressions(rel).boolean(e)), names)
 
+    def _body(self, g: A.Group, outer: Rel) -> tuple[Rel, list]:
+        """The body of an EXISTS, and its filters that read variables of the outer row alone: these belong into the join."""
+        own = set(self._all_vars(g))
+        far = {v for v in outer.vars if v not in own}
+        conds = [p.expr for p in g.parts if isinstance(p, A.Filter) and _vars(p.expr) & far]
+        rest = A.Group(tuple(p for p in g.parts if not (isinstance(p, A.Filter) and p.expr in conds)))
+        if _vars(rest) & far or any(_vars(x.group) & far for e in conds for x in _find(e, A.Exists)):
+            raise QueryError("an inner pattern of EXISTS can't read an outer variable")
+        return self.group(rest), conds
+
+    def _both(self, l: Rel, s: Rel, n: int, conds: list, lp: str = "") -> list[Column]:
+        """Conditions over a row of l (columns renamed by lp) and one of s (by n)."""
+        if any(_find(e, A.Exists) for e in conds):
+            raise QueryError("EXISTS can't be used here")
+        x = Expressions({v: s.value(v, f"r{n}") for v in s.vars} | {v: l.value(v, lp) for v in l.vars}, None, None, self.functions, self.now)
+        return [F.coalesce(x.boolean(e), F.lit(False)) for e in conds]
+
     def _with_exists(self, rel: Rel, e):
         """e with each EXISTS in it replaced by a variable that tells whether the row has a partner."""
         for x in _find(e, A.Exists):
-            inner = self.group(x.group)
-            name, row = f"%e{next(self.fresh)}", f"__row{next(self.fresh)}"
-            tagged = self._numbered(rel, row)
-            hit = self._semi(tagged, inner, False).df.select(_c(row).alias("__hit")).distinct()
-            df = tagged.df.join(hit, _c(row) == _c("__hit"), "left")
-            flag = (_c("__hit").isNotNull() if not x.negated else _c("__hit").isNull()).cast("string")
-            rel = Rel(df.withColumn(f"v_{name}", flag).drop("__hit", row), rel.vars | {name: Info("D" + XSD + "boolean")})
+            inner, conds = self._body(x.group, rel)
+            shared = [v for v in rel.vars if v in inner.vars]
+            s, n = self._side(inner)
+            name = f"%e{next(self.fresh)}"
+            if not any(rel.vars[v].nullable or s.vars[v].nullable for v in shared):
+                # the outer row's columns get other names: the body's plan may hold theirs below its projection
+                lp = f"q{n}"
+                own = {c: lp + c for v, i in rel.vars.items() for c in _cols(v, replace(i, native=None))}
+                eq = [self._equal(v, rel, s, n, lp) for v in shared]
+                if any(c is None for c in eq):
+                    flag = F.lit(False)
+                else:
+                    tests = eq + self._both(rel, s, n, conds, lp)
+                    flag = (s.df.where(functools.reduce(lambda a, b: a & b, tests).outer()) if tests else s.df).exists()
+                df = rel.df.withColumnsRenamed(own).withColumn(f"e_{name}", flag).withColumnsRenamed({b: a for a, b in own.items()})
+                flag = _c(f"e_{name}") if not x.negated else ~_c(f"e_{name}")
+                rel = Rel(df.withColumn(f"v_{name}", flag.cast("string")).drop(f"e_{name}"), rel.vars | {name: Info("D" + XSD + "boolean")})
+            else:
+                row = f"__row{next(self.fresh)}"
+                tagged = self._numbered(rel, row)
+                hit = self._semi(tagged, inner, conds).df.select(_c(row).alias("__hit")).distinct()
+                df = tagged.df.join(hit, _c(row) == _c("__hit"), "left")
+                flag = (_c("__hit").isNotNull() if not x.negated else _c("__hit").isNull()).cast("string")
+                rel = Rel(df.withColumn(f"v_{name}", flag).drop("__hit", row), rel.vars | {name: Info("D" + XSD + "boolean")})
             e = _swap(e, x, A.TermExpr(A.Var(name)))
         return rel, e
 
@@ -446,8 +524,8 @@ class Engine:
             new[v] = replace(i, native=nat)
         return Rel(rel.df.select(*(out or [F.lit(1).alias(f"r{n}one")])), new), n
 
-    def _equal(self, v: str, l: Rel, r: Rel, n: int) -> Column | None:
-        """The condition that v is one term on both sides (r's columns renamed by n); None if it never is."""
+    def _equal(self, v: str, l: Rel, r: Rel, n: int, lp: str = "") -> Column | None:
+        """The condition that v is one term on both sides (r's columns renamed by n, l's by lp); None if it never is."""
         a, b = l.vars[v], r.vars[v]
         if a.tag and b.tag and a.tag != b.tag:
             if kind_of(a.tag) != kind_of(b.tag) or "L" not in (a.tag, b.tag):
@@ -462,9 +540,9 @@ class Engine:
             whole = {"tinyint", "smallint", "int", "bigint"}
             if all(x == y or {x, y} <= whole for x, y in pairs) and not any(x in ("float", "double") for x, _ in pairs):
                 return functools.reduce(lambda x, y: x & y, [_c(x) == _c(y) for x, y in zip(a.native.columns, b.native.columns)])
-        same = _c(f"v_{v}") == _c(f"r{n}v_{v}")
+        same = _c(f"{lp}v_{v}") == _c(f"r{n}v_{v}")
         if a.tag is None or b.tag is None:
-            ta = l.value(v).tag_column()
+            ta = l.value(v, lp).tag_column()
             tb = _c(f"r{n}t_{v}") if b.tag is None else F.lit(b.tag)
             loose = (ta == "L") & ~tb.isin("I", "B") | (tb == "L") & ~ta.isin("I", "B")
             same = same & ((ta == tb) | loose)
@@ -542,13 +620,29 @@ class Engine:
             return self.empty(dict.fromkeys([*l.vars, *r.vars]))
         return self._after(l, s, n, df, False)
 
+    def _cases(self, l: Rel, s: Rel, n: int, shared: list[str]):
+        """l's rows by which nullable shared variables they bind, if s binds all of them: (rows, bound variables, equalities;
+        None: there never is a partner)."""
+        loose = [v for v in shared if l.vars[v].nullable]
+        for case in itertools.product((True, False), repeat=len(loose)):
+            df, bound = l.df, [v for v in shared if v not in loose]
+            for v, there in zip(loose, case):
+                df = df.where(_c(f"v_{v}").isNotNull() if there else _c(f"v_{v}").isNull())
+                bound += [v] * there
+            eq = [self._equal(v, l, s, n) for v in bound]
+            yield df, bound, None if any(x is None for x in eq) else eq
+
     def left_join(self, l: Rel, r: Rel, conds: list | None = None) -> Rel:
         """OPTIONAL, with the filters that stand in it; they see both sides."""
         s, n = self._side(r)
-        plain = list(self._patterns(l, s, n))
-        if len(plain) == 1 and not plain[0][0] and not plain[0][1] and plain[0][2] and not conds:
-            df = l.df.join(s.df, functools.reduce(lambda x, y: x & y, plain[0][2]), "left_outer")
-            return self._after(l, s, n, df, True)
+        shared = [v for v in l.vars if v in r.vars]
+        if not any(s.vars[v].nullable for v in shared) and not any(_find(e, A.Exists) for e in conds or []):
+            tests = self._both(l, s, n, conds or [])
+            parts = []
+            for df, _, eq in self._cases(l, s, n, shared):
+                on = F.lit(False) if eq is None else functools.reduce(lambda x, y: x & y, eq + tests, F.lit(True)) if not eq + tests else functools.reduce(lambda x, y: x & y, eq + tests)
+                parts.append(df.join(s.df, on, "left_outer"))
+            return self._after(l, s, n, functools.reduce(DataFrame.unionByName, parts), True)
         row = f"__row{next(self.fresh)}"
         tagged = self._numbered(l, row)
         df = self._met(tagged, s, n)
@@ -568,35 +662,65 @@ class Engine:
         out = self.union([inner, Rel(rest, l.vars)])
         return self._project(out, [v for v in out.vars if v != row])
 
-    def _semi(self, l: Rel, r: Rel, negated: bool) -> Rel:
-        """Rows of l that have (or lack) a compatible row in r."""
+    def _semi(self, l: Rel, r: Rel, conds: list, negated: bool = False) -> Rel:
+        """Rows of l that have (or lack) a compatible row in r, with which all of conds hold."""
         shared = [v for v in l.vars if v in r.vars]
-        s, n = self._side(self._project(r, shared) if shared else r)
+        if not shared and len(conds) == 1:
+            r = self._ends(l, r, conds[0])
+        s, n = self._side(r if conds or not shared else self._project(r, shared))
         how = "left_anti" if negated else "left_semi"
-        loose = any(l.vars[v].nullable or s.vars[v].nullable for v in shared)
-        if not shared:
+        if not shared and not conds:
             flag = s.df.limit(1).select(F.lit(1).alias("__some"))
             return Rel(l.df.join(flag, F.lit(True), how), l.vars)
-        if not loose:
-            eq = [self._equal(v, l, s, n) for v in shared]
-            if any(x is None for x in eq):
-                return l if negated else Rel(l.df.limit(0), l.vars)
-            return Rel(l.df.join(s.df, functools.reduce(lambda x, y: x & y, eq), how), l.vars)
+        tests = self._both(l, s, n, conds)
+        if not any(s.vars[v].nullable for v in shared):
+            parts = []
+            for df, _, eq in self._cases(l, s, n, shared):
+                if eq is None:
+                    parts.append(df if negated else df.limit(0))
+                elif eq + tests:
+                    parts.append(df.join(s.df, functools.reduce(lambda x, y: x & y, eq + tests), how))
+                else:
+                    parts.append(df.join(s.df.limit(1).select(F.lit(1).alias("__some")), F.lit(True), how))
+            return Rel(functools.reduce(DataFrame.unionByName, parts), l.vars)
         row = f"__row{next(self.fresh)}"
         tagged = self._numbered(l, row)
         df = self._met(tagged, s, n)
         if df is None:
             return l if negated else Rel(l.df.limit(0), l.vars)
+        for c in tests:
+            df = df.where(c)
         hit = df.select(_c(row).alias("__hit")).distinct()
         return Rel(tagged.df.join(hit, _c(row) == _c("__hit"), how).drop(row), l.vars)
 
+    def _ends(self, l: Rel, r: Rel, e) -> Rel:
+        """r, or just its rows with the least and the largest value if e compares an ordered value of r's with one of l's: if
+        any row holds the comparison, one of these does."""
+        if not (isinstance(e, A.Binary) and e.op in ("<", "<=", ">", ">=", "!=")):
+            return r
+        for side, other in ((e.left, e.right), (e.right, e.left)):
+            if _vars(side) <= set(r.vars) and not _vars(other) & set(r.vars):
+                v = self._expressions(r).value(side)
+                d = datatype_of(v.static)
+                if d not in NUMERIC | TEMPORAL or v.typed is None:
+                    return r
+                key, row = (number(v) if d in NUMERIC else v.typed), F.struct("*")
+                both = r.df.select(row.alias("row"), key.alias("key")).where("key is not null").agg(F.min_by("row", "key").alias("a"), F.max_by("row", "key").alias("z"))
+                both = both.select(F.explode(F.array("a", "z")).alias("row")).where("row is not null").select("row.*")
+                return Rel(both, r.vars)
+        return r
+
     def minus(self, l: Rel, r: Rel) -> Rel:
         """Rows of l without a compatible row of r that shares a bound variable."""
         shared = [v for v in l.vars if v in r.vars]
         if not shared:
             return l
-        if all(not l.vars[v].nullable and not r.vars[v].nullable for v in shared):
-            return self._semi(l, r, True)
+        if not any(r.vars[v].nullable for v in shared):
+            s, n = self._side(self._project(r, shared))
+            parts = []
+            for df, bound, eq in self._cases(l, s, n, shared):
+                parts.append(df.join(s.df, functools.reduce(lambda x, y: x & y, eq), "left_anti") if bound and eq else df)
+            return Rel(functools.reduce(DataFrame.unionByName, parts), l.vars)
         row = f"__row{next(self.fresh)}"
         tagged = self._numbered(l, row)
         s, n = self._side(self._project(r, shared))
@@ -611,39 +735,80 @@ class Engine:
 
     def _bgp(self, triples) -> Rel:
         """A basic graph pattern; patterns with one subject go together, so that one scan can serve them."""
-        rel, left = None, list(triples)
+        options = self._pruned(triples)
+        rel, left = None, list(range(len(triples)))
         while left:
-            t = left.pop(0)
-            group = [t]
-            if self.star and isinstance(t.s, (A.Var, A.Bnode)):
-                group += [x for x in left if x.s == t.s]
-                left = [x for x in left if x.s != t.s]
-            rel = self.join(rel, self._star(group))
+            i = left.pop(0)
+            group = [i]
+            if self.star and isinstance(triples[i].s, (A.Var, A.Bnode)):
+                group += [j for j in left if triples[j].s == triples[i].s]
+                left = [j for j in left if triples[j].s != triples[i].s]
+            rel = self.join(rel, self._star([triples[j] for j in group], [options[j] for j in group]))
         return rel if rel is not None else self.unit()
 
-    def _star(self, group) -> Rel:
-        plain = [t for t in group if isinstance(t.p, A.Link)]
-        rest = [t for t in group if not isinstance(t.p, A.Link)]
-        rel = None
-        options = [self._candidates(t.s, t.p.term, t.o) for t in plain]
-        if len(plain) > 1 and all(len(o) == 1 for o in options):
-            arms = [o[0] for o in options]
-            m = arms[0][0]
-            if all(a[0] is m and a[3] is None for a in arms) and self.catalog.unique(m, m.subject.columns) and m.subject.template and m.subject.template.invertible(self._whole(m)):
-                rel = self._merged(m, plain, arms)
+    def _pruned(self, triples) -> list:
+        """The candidates of each pattern (None for a path), without those whose term for a shared variable no candidate of
+        another pattern could give."""
+        options = [self._candidates(t.s, t.p.term, t.o) if isinstance(t.p, A.Link) else None for t in triples]
+        if not self.star:
+            return options
+        places: dict = {}
+        for i, t in enumerate(triples):
+            if options[i] is not None:
+                for place, term in enumerate((t.s, t.p.term, t.o)):
+                    if isinstance(term, (A.Var, A.Bnode)):
+                        places.setdefault(term, []).append((i, place))
+        at = lambda arm, place: (arm[0].subject, arm[1], arm[2])[place]
+        again = True
+        while again:
+            again = False
+            for found in places.values():
+                for i, place in found:
+                    for j, other in found:
+                        if i == j:
+                            continue
+                        there = {at(arm, other) for arm in options[j]}
+                        good = {tm for tm in {at(arm, place) for arm in options[i]} if not all(_apart(tm, x) for x in there)}
+                        kept = [arm for arm in options[i] if at(arm, place) in good]
+                        again |= len(kept) < len(options[i])
+                        options[i] = kept
+        return options
+
+    def _star(self, group, options) -> Rel:
+        plain = [(t, o) for t, o in zip(group, options) if o is not None]
+        rest = [t for t, o in zip(group, options) if o is None]
+        rel = self._one_scan(plain) if len(plain) > 1 else None
         if rel is None:
-            for t, o in zip(plain, options):
+            for t, o in plain:
                 rel = self.join(rel, self._arms(t.s, t.p.term, t.o, o))
         for t in rest:
             rel = self.join(rel, paths.path(self, t.p, t.s, t.o))
         return rel
 
+    def _one_scan(self, plain) -> Rel | None:
+        """Patterns with one row-unique subject, by one scan of each map that answers all of them; None if they can't be."""
+        by: dict[str, list] = {}
+        for i, (_, arms) in enumerate(plain):
+            for arm in arms:
+                by.setdefault(arm[0].id, [[] for _ in plain])[i].append(arm)
+        maps = [self.mapping.maps[m] for m in by]
+        for m in maps:
+            good = m.subject.template and self.catalog.unique(m, m.subject.columns) and m.subject.template.invertible(self._whole(m))
+            if not good or any(len(arms) != 1 or arms[0][3] is not None for arms in by[m.id]):
+                return None
+        if not maps or any(not _apart(a.subject, b.subject) for a, b in itertools.combinations(maps, 2)):
+            return None
+        rels = [self._merged(m, [t for t, _ in plain], [arms[0] for arms in by[m.id]]) for m in maps]
+        return rels[0] if len(rels) == 1 else self.union(rels)
+
     def _merged(self, m: TriplesMap, group, arms) -> Rel:
         """Patterns that one row-unique subject answers: one scan."""
         df, infos, conds = self.catalog.frame(m), {}, []
         out: dict[str, Column] = {}
+        # the subject once: it is one term map in all patterns
+        self._bind(m, df, [(group[0].s, m.subject)], infos, out, conds)
         for t, (_, p, o, _) in zip(group, arms):
-            self._bind(m, df, [(t.s, m.subject), (t.p.term, p), (t.o, o)], infos, out, conds)
+            self._bind(m, df, [(t.p.term, p), (t.o, o)], infos, out, conds)
         for c in conds:
             df = df.where(c)
         return Rel(df.select(*[c.alias(k) for k, c in out.items()]), infos)
@@ -695,6 +860,8 @@ class Engine:
         """The union of candidates, each term once."""
         names = [t.name if isinstance(t, A.Var) else f"_:{t.label}" for t in (s, p, o) if isinstance(t, (A.Var, A.Bnode))]
         rels, sure, metas = [], True, []
+        if isinstance(p, A.Var) and len({s, p, o}) == 3:
+            arms, rels, metas = self._exploded(s, p, o, arms, negated)
         for m, pm, om, ref in arms:
             infos, out, conds = {}, {}, []
             df = self.catalog.frame(m)
@@ -726,13 +893,52 @@ class Engine:
             metas.append((m, pm, om))
         if not rels:
             return self.empty(dict.fromkeys(names))
-        if len(rels) == 1:
+        if len(metas) == 1:
             return rels[0]
         for (a, pa, oa), (b, pb, ob) in itertools.combinations(metas, 2):
             apart = isinstance(s, (A.Var, A.Bnode)) and _apart(a.subject, b.subject) or isinstance(p, A.Var) and _apart(pa, pb) or isinstance(o, (A.Var, A.Bnode)) and _apart(oa, ob)
             sure = sure and apart
+        if len(rels) == 1:
+            return rels[0] if sure else Rel(rels[0].df.distinct(), rels[0].vars)
         return self.union(rels, dedup=not sure)
 
+    def _exploded(self, s, p, o, arms, negated) -> tuple[list, list[Rel], list]:
+        """Arms with a variable predicate over one map with a row-unique subject: one scan, whose rows give all their (predicate,
+        object) at once. The arms that are left, relations, and what they stand for."""
+        rest, rels, metas, by = [], [], [], {}
+        for arm in arms:
+            by.setdefault(arm[0].id, []).append(arm)
+        for found in by.values():
+            m = found[0][0]
+            own = [a for a in found if a[3] is None]
+            key = m.subject.template is not None and self.catalog.unique(m, m.subject.columns) and m.subject.template.invertible(self._whole(m))
+            if len(own) < 2 or not key:
+                rest += found
+                continue
+            rest += [a for a in found if a[3] is not None]
+            df, infos, out, conds, each = self.catalog.frame(m), {}, {}, [], []
+            self._bind(m, df, [(s, m.subject)], infos, out, conds)
+            for _, pm, om, _ in own:
+                tests = [self._column(df, c)[0].isNotNull() for c in (*pm.columns, *om.columns) if not self.catalog.never_null(m, c)]
+                if negated and pm.constant is None:
+                    tests.append(~self._lex(m, pm, df).isin(*negated))
+                if isinstance(o, (A.Iri, A.Literal)):
+                    tests.append(self._match(m, om, o, df, ""))
+                one = F.struct(self._lex(m, pm, df).alias("p"), self._lex(m, om, df).alias("o"), F.lit(self._tag(om, df)).alias("t"))
+                each.append(F.when(functools.reduce(lambda x, y: x & y, tests), one) if tests else one)
+            for c in conds:
+                df = df.where(c)
+            df = df.select(*[c.alias(k) for k, c in out.items()], F.explode(F.array(*each)).alias("__x")).where("__x is not null")
+            cols = [_c(k) for k in out] + [F.col("__x.p").alias(f"v_{p.name}")]
+            infos[p.name] = Info("I")
+            if isinstance(o, (A.Var, A.Bnode)):
+                v = o.name if isinstance(o, A.Var) else f"_:{o.label}"
+                infos[v] = Info(meet([self._tag(a[2], self.catalog.frame(m)) for a in own]))
+                cols += [F.col("__x.o").alias(f"v_{v}"), *([F.col("__x.t").alias(f"t_{v}")] if infos[v].tag is None else [])]
+            rels.append(Rel(df.select(*cols), infos))
+            metas += [(m, pm, om) for _, pm, om, _ in own]
+        return rest, rels, metas
+
     def _column(self, df: DataFrame, name: str, prefix: str = "") -> tuple[Column, T.DataType]:
         for f in df.schema.fields:
             if f.name.lower() == (prefix + name).lower():
@@ -765,7 +971,8 @@ class Engine:
         """For (term, term map) pairs: conditions for constants, columns for variables."""
         for term, tm in pairs:
             for c in tm.columns:
-                conds.append(self._column(df, c, prefix)[0].isNotNull())
+                if not self.catalog.never_null(m, c):
+                    conds.append(self._column(df, c, prefix)[0].isNotNull())
             if isinstance(term, (A.Iri, A.Literal)):
                 conds.append(self._match(m, tm, term, df, prefix))
                 continue
@@ -835,16 +1042,23 @@ class Engine:
 
 
 def nt(v: Value) -> Column:
-    """A term in N-Triples form."""
+    """A term in N-Triples form; a tag that is known beforehand costs no test."""
+    iri, blank = F.concat(F.lit("<"), v.lex, F.lit(">")), F.concat(F.lit("_:"), v.lex)
+    d = datatype_of(v.static)
     esc = v.lex
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        esc = F.replace(esc, F.lit(a), F.lit(b))
-    quoted = F.concat(F.lit('"'), esc, F.lit('"'))
+    if d not in NUMERIC | TEMPORAL | {XSD + "boolean"}:
+        for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            esc = F.replace(esc, F.lit(a), F.lit(b))
+    if v.static in ("I", "B"):
+        return iri if v.static == "I" else blank
+    if v.static:
+        return F.concat(F.lit('"'), esc, F.lit('"' + (v.static if v.static[0] == "@" else "" if d in (None, XSD + "string") else f"^^<{d}>")))
     t = v.tag_column()
     tail = F.when(t.startswith("@"), t).when(t.startswith("D") & (t != f"D{XSD}string"), F.concat(F.lit("^^<"), F.substring(t, F.lit(2), F.length(t)), F.lit(">"))).otherwise("")
-    return F.when(t == "I", F.concat(F.lit("<"), v.lex, F.lit(">"))).when(t == "B", F.concat(F.lit("_:"), v.lex)).otherwise(F.concat(quoted, tail))
+    return F.when(t == "I", iri).when(t == "B", blank).otherwise(F.concat(F.lit('"'), esc, F.lit('"'), tail))
 
 
+@functools.lru_cache(maxsize=100_000)
 def _apart(a: TermMap, b: TermMap) -> bool:
     """No term comes from both."""
     if a.kind != b.kind:
@@ -859,6 +1073,17 @@ def _apart(a: TermMap, b: TermMap) -> bool:
     return False
 
 
+def _vars(e) -> set[str]:
+    """The names of all variables in an expression or a pattern."""
+    if isinstance(e, A.Var):
+        return {e.name}
+    if isinstance(e, (tuple, list)):
+        return set().union(*map(_vars, e))
+    if hasattr(e, "__dataclass_fields__"):
+        return set().union(*[_vars(getattr(e, f)) for f in e.__dataclass_fields__])
+    return set()
+
+
 def _find(e, kind) -> list:
     """The outermost nodes of a kind in an expression."""
     if isinstance(e, kind):

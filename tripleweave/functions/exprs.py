@@ -7,6 +7,7 @@ import functools
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sparql import ast as A
 from ..terms import INTEGRAL, NUMERIC, RDF, TEMPORAL, XSD, Value, datatype_of, encode, kind_of, lexical, meet, space_of, to_bool, to_double, to_time, typed
@@ -29,9 +30,12 @@ def of_int(c: Column) -> Value:
     return Value(c.cast("string"), _d("integer"), c)
 
 
-def of_double(c: Column) -> Value:
-    from pyspark.sql import types as T
+def of_wide(c: Column) -> Value:
+    """A whole number in decimal(38,0)."""
+    return Value(c.cast("string"), _d("integer"), c, True)
+
 
+def of_double(c: Column) -> Value:
     c = c.cast("double")
     return Value(lexical(c, T.DoubleType()), _d("double"), c)
 
@@ -178,7 +182,7 @@ class Expressions:
             return of_bool(~ebv(v))
         sign = -1 if e.op == "-" else 1
         if datatype_of(v.static) in INTEGRAL:
-            return of_int((v.typed if v.typed is not None else typed(v.lex, XSD + "integer")) * sign)
+            return (of_wide if v.wide else of_int)((v.typed if v.typed is not None else typed(v.lex, XSD + "integer")) * sign)
         return of_double(number(v) * sign)
 
     def _Binary(self, e) -> Value:
@@ -191,6 +195,9 @@ class Expressions:
         whole = datatype_of(l.static) in INTEGRAL and datatype_of(r.static) in INTEGRAL
         if whole and e.op != "/":
             a, b = (v.typed if v.typed is not None else typed(v.lex, XSD + "integer") for v in (l, r))
+            if l.wide or r.wide:
+                a, b = a.cast("decimal(38,0)"), b.cast("decimal(38,0)")
+                return of_wide({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e.op](a, b).try_cast("decimal(38,0)"))
             return of_int({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[e.op](a, b))
         a, b = number(l), number(r)
         return of_double({"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b)}[e.op]())
@@ -222,10 +229,13 @@ class Expressions:
         if e.iri in INTEGRAL:
             d = v.typed.cast("double") if datatype_of(v.static) == XSD + "boolean" and v.typed is not None else number(v) if datatype_of(v.static) in NUMERIC else to_double(v.lex)
             exact = typed(v.lex, XSD + "integer")
+            exact = exact if not v.wide else v.typed.try_cast("bigint")
             n = F.coalesce(exact, F.when(~F.isnan(d) & (F.abs(d) < 9.2e18), F.when(d < 0, F.ceil(d)).otherwise(F.floor(d))))
             return Value(n.cast("string"), "D" + e.iri, n)
         if name in ("double", "float"):
-            return of_double(F.when(v.lex == "true", F.lit(1.0)).when(v.lex == "false", F.lit(0.0)).otherwise(to_double(v.lex)))
+            n = F.when(v.lex == "true", F.lit(1.0)).when(v.lex == "false", F.lit(0.0)).otherwise(to_double(v.lex))
+            out = of_double(n if name == "double" else n.cast("float"))
+            return Value(out.lex if name == "double" else lexical(n.cast("float"), T.FloatType()), "D" + e.iri, out.typed)
         if name == "decimal":
             n = typed(v.lex, e.iri)
             return Value(n.cast("string"), "D" + e.iri, n)
@@ -236,8 +246,6 @@ class Expressions:
             n = _date(v).cast("date")
             return Value(n.cast("string"), "D" + e.iri, n)
         if name == "dateTime":
-            from pyspark.sql import types as T
-
             n = _date(v)
             return Value(lexical(n, T.TimestampNTZType()), "D" + e.iri, n)
         raise QueryError(f"unknown function {e.iri}")
@@ -286,7 +294,7 @@ class Expressions:
         if name in ("ABS", "CEIL", "FLOOR", "ROUND"):
             if datatype_of(v.static) in INTEGRAL:
                 n = v.typed if v.typed is not None else typed(v.lex, XSD + "integer")
-                return of_int(F.abs(n) if name == "ABS" else n)
+                return (of_wide if v.wide else of_int)(F.abs(n) if name == "ABS" else n)
             n = number(v)
             return of_double({"ABS": F.abs, "CEIL": F.ceil, "FLOOR": F.floor, "ROUND": lambda x: F.floor(x + 0.5)}[name](n))
         if name == "COALESCE":

@@ -297,10 +297,13 @@ class _Yarrrml:
             node = self.blank()
             self.add(node, "parentTriplesMap", ("iri", self.name(str(self.pick(o, "mapping", "mappings")))))
             for c in self.many(self.pick(o, "condition", "conditions")):
+                if not isinstance(c, dict):
+                    self.note("a condition is not a map")
+                    continue
                 if c.get("function") != "equal":
                     self.note(f"only the condition function equal is known, not {c.get('function')}")
                     continue
-                args = [a[1] if isinstance(a, list) else a for a in self.pick(c, "parameters") or []]
+                args = [a[1] if isinstance(a, list) and len(a) > 1 else None if isinstance(a, list) else a for a in self.many(self.pick(c, "parameters"))]
                 names = [re.fullmatch(r"\$\(([^()]+)\)", str(a)) for a in args]
                 if len(names) != 2 or not all(names):
                     self.note("a condition needs two references")
@@ -317,6 +320,9 @@ class _Yarrrml:
             text = f"{value}~iri" if self.pick(o, "type") == "iri" else value
             node = self.value(text, "object", self.pick(o, "datatype"), self.pick(o, "language"))
         elif isinstance(o, list):
+            if not o or isinstance(o[0], (list, dict)):
+                self.note("a list for an object needs a value first")
+                return
             node = self.value(o[0], "object", *self.typed(o[1] if len(o) > 1 else None))
         else:
             node = self.value(o, "object")
@@ -328,16 +334,28 @@ class _Yarrrml:
     def source(self, s):
         if isinstance(s, str):
             named = (self.doc.get("sources") or {}).get(s)
+            if named is None:
+                self.note(f"unknown source {s}")
             s = named if named is not None else {"table": s}
-        if isinstance(s, list):
+        if isinstance(s, list) and s:
             s = {"table": re.sub(r"~\w+$", "", str(s[0]))}
+        if not isinstance(s, dict) or not any(k in s for k in ("query", "table", "access")):
+            self.note("a source is a map with a query, a table or an access")
+            return None
         return s
 
     def build(self) -> Mapping:
         for k in self.doc:
             if k not in ("prefixes", "base", "mappings", "sources"):
                 self.note(f"unknown key {k}")
-        for key, m in (self.doc.get("mappings") or {}).items():
+        mappings = self.doc.get("mappings")
+        if not isinstance(mappings, dict) or not mappings:
+            self.note("there are no mappings")
+            mappings = {}
+        for key, m in mappings.items():
+            if m is not None and not isinstance(m, dict):
+                self.note(f"{key}: a mapping is a map")
+                continue
             s, m = ("iri", self.name(str(key))), m or {}
             for k in m:
                 if k not in _KNOWN:
@@ -345,8 +363,9 @@ class _Yarrrml:
             sources = self.many(self.pick(m, "sources", "source"))
             if len(sources) > 1:
                 self.note(f"{key}: only the first of several sources is used")
-            if sources:
-                src, table = self.source(sources[0]), self.blank()
+            src = self.source(sources[0]) if sources else None
+            if src is not None:
+                table = self.blank()
                 if "query" in src:
                     self.add(table, "sqlQuery", ("literal", str(src["query"]), None, None))
                 else:
@@ -363,6 +382,9 @@ class _Yarrrml:
                 for g in self.many(self.pick(m, "graphs", "graph")):
                     self.add(subject, "graphMap", self.value(g, "iri"))
             for entry in self.many(self.pick(m, "po", "predicateobjects")):
+                if isinstance(entry, list) and len(entry) < 2 or not isinstance(entry, (list, dict)):
+                    self.note(f"{key}: an entry of po needs a predicate and an object")
+                    continue
                 if isinstance(entry, list):
                     predicates, objects = entry[0], entry[1] if isinstance(entry[1], list) else [entry[1]]
                     objects = [[o, *entry[2:]] if len(entry) > 2 and not isinstance(o, (list, dict)) else o for o in objects]

@@ -91,11 +91,13 @@ def _pairs(engine, step) -> DataFrame:
 
 def _cut(df: DataFrame) -> DataFrame:
     """df as written to the checkpoint folder."""
-    spark = df.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
+    sc = df.sparkSession.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -124,15 +126,13 @@ def closure(engine, step, s, o):
             hit = seen.where((F.col("b") == end.lex) & (F.col("bt") == end.tag)).limit(1)
             return Rel(hit.select(F.lit(1).alias("__one")), {})
         return Rel(seen.select(F.col("b").alias(f"v_{name}"), F.col("bt").alias(f"t_{name}")), {name: Info(None)})
-    all_, size = e, e.count()
-    while True:
-        left = all_.select("a", "at", F.col("b").alias("m"), F.col("bt").alias("mt"))
-        right = all_.select(F.col("a").alias("m"), F.col("at").alias("mt"), "b", "bt")
-        all_ = _cut(all_.unionByName(left.join(right, ["m", "mt"]).select("a", "at", "b", "bt")).distinct())
-        now = all_.count()
-        if now == size:
-            break
-        size = now
+    all_ = new = e
+    while not new.isEmpty():  # a longer pair has one of the last round's as its beginning or end
+        mid = lambda d: d.select("a", "at", F.col("b").alias("m"), F.col("bt").alias("mt"))
+        end = lambda d: d.select(F.col("a").alias("m"), F.col("at").alias("mt"), "b", "bt")
+        more = mid(new).join(end(all_), ["m", "mt"]).unionByName(mid(all_).join(end(new), ["m", "mt"])).select("a", "at", "b", "bt").distinct()
+        new = _cut(more.join(all_, ["a", "at", "b", "bt"], "left_anti"))
+        all_ = all_.unionByName(new)
     x, y = _name(s), _name(o)
     if x == y:
         df = all_.where((F.col("a") == F.col("b")) & (F.col("at") == F.col("bt")))

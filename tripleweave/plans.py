@@ -38,7 +38,18 @@ def mapping() -> Mapping:
     return Mapping(maps)
 
 
-def engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
+_ENGINES: dict = {}
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """One engine a session and folder: table schemas are read once."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _ENGINES:
+        _ENGINES[key] = new_engine(spark, sf_dir)
+    return _ENGINES[key]
+
+
+def new_engine(spark: SparkSession, sf_dir: str, **options) -> Engine:
     cat = Catalog(spark)
     for table, (_, _, key, _, _) in _TABLES.items():
         cat.add(table, spark.read.parquet(f"{sf_dir}/{table}.parquet"), key)

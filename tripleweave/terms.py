@@ -85,6 +85,7 @@ class Value:
     lex: Column
     tag: str | Column | None
     typed: Column | None = None  # boolean, long, decimal, double or timestamp in Spark's own types
+    wide: bool = False  # a whole number as decimal(38,0), which may not fit a long
 
     @property
     def static(self) -> str | None:
@@ -107,19 +108,18 @@ def lexical(c: Column, kind: T.DataType) -> Column:
     """The XSD lexical form of a column: T between date and time, upper-case hex, shortest doubles."""
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
         text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        return F.regexp_replace(text, r"\.?0+$", "") if False else F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.when(text.endswith(".000000"), F.substring(text, 1, 19)).otherwise(F.regexp_replace(text, "0+$", ""))
     if isinstance(kind, T.BinaryType):
         return F.hex(c)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        text = c.cast("string")
-        return F.when(F.isnan(c), "NaN").when(text == "Infinity", "INF").when(text == "-Infinity", "-INF").otherwise(text)
+        return F.when(c == float("inf"), "INF").when(c == float("-inf"), "-INF").otherwise(c.cast("string"))
     return c.cast("string")
 
 
 def to_double(c: Column) -> Column:
     """A number's value, or null."""
     text = F.trim(c)
-    value = F.when(text.isin("INF", "+INF"), F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).otherwise(F.try_to_number_(text) if False else text.try_cast("double"))
+    value = F.when(text.isin("INF", "+INF"), F.lit(float("inf"))).when(text == "-INF", F.lit(float("-inf"))).otherwise(text.try_cast("double"))
     return F.when(c.rlike(NUMBER), value)
 
 
