@@ -10,7 +10,8 @@ Given a number of shards, the smallest capacity is sought at which best-fit-decr
 that alone exceeds its fair part gets a bin of its own first. Given a capacity, as many bins as needed are opened.
 
 Defined results: a null text counts as empty (size 1, crc32 0) and is one group with the empty text; repeated rows each get a
-slot; an empty table gives no rows.
+slot; sizes that tie are packed as one run, in the order of the texts' digests; a text of any length is one item; other
+columns, of whatever name, aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, load, materialize, ranked, small
+from .common import attach, load, materialize, numbered, ranked, small
 
 #: Parts into which a size class or a shard is split for numbering.
 SALTS = 256
@@ -135,9 +136,9 @@ def _text(column: str = "text") -> Column:
 def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of every row of docs, by the number of shards or by capacity in bytes."""
     spark = docs.sparkSession
-    meta = materialize(
+    meta = numbered(
         docs.select("doc_id", (F.octet_length(_text()) + 1).cast("long").alias("size"), F.crc32(_text().cast("binary")).alias("text_crc32"), F.unhex(F.md5(_text().cast("binary"))).alias("key")),
-        "shard",
+        "row",
     )
     total = meta.count()
     groups = materialize(
@@ -151,7 +152,7 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
         "key", "size", "copies", (F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("int").alias("shard")
     )
     out = attach(meta, materialize(placed, "placed"), ["key", "size"], "copies", total)
-    out = ranked(out, ["shard"], F.xxhash64("doc_id", "key"), ["doc_id", "key"], "slot", 4 * SALTS)
+    out = ranked(out, ["shard"], F.xxhash64("row"), ["doc_id", "key", "row"], "slot", 4 * SALTS)
     return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 
