@@ -57,14 +57,23 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 def choose(sample: list[bytes], most: int, apart: float = APART) -> dict[int, np.ndarray]:
     """By length: unit vectors of the sample that are apart from all chosen before."""
-    out: dict[int, list] = {}
+    by: dict[int, list] = {}
     for raw in sample:
-        x = np.frombuffer(raw, np.float64)
-        x = x / np.linalg.norm(x)
-        own = out.setdefault(len(x), [])
-        if len(own) < most and (not own or (np.array(own) @ x).max() < apart):
-            own.append(x)
-    return {n: np.array(v) for n, v in out.items()}
+        by.setdefault(len(raw) // 8, []).append(raw)
+    out = {}
+    for dim, found in by.items():
+        x = np.frombuffer(b"".join(found), np.float64).reshape(-1, dim)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        own, n = np.empty((min(most, len(x)), dim)), 0
+        for at in range(0, len(x), 256):  # a block against all chosen at once, then one by one within the block
+            part = x[at : at + 256]
+            part = part[(part @ own[:n].T).max(1, initial=-2) < apart]
+            start = n
+            for v in part:
+                if n < len(own) and (own[start:n] @ v).max(initial=-2) < apart:
+                    own[n], n = v, n + 1
+        out[dim] = own[:n]
+    return out
 
 
 def _lists(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
