@@ -6,7 +6,9 @@ heap of adjacent pairs by (rank, place). The lowest pair is popped and merged if
 was pushed; the count is the bytes minus the merges. No identifier is made. A task keeps the counts of pieces that it has
 met in a bounded table, which is emptied when full: only speed depends on it.
 
-Defined results: a null text counts as empty (0 bytes, 0 tokens); a piece of any length costs n log n.
+Defined results: a null text counts as empty (0 bytes, 0 tokens); a piece of any length costs n log n; repeated rows are
+counted alike; other columns, of whatever name, aren't read; an empty table gives no rows. A file with another model, a
+normaliser, or added tokens that aren't special is refused.
 """
 
 from __future__ import annotations
@@ -42,6 +44,9 @@ class Counter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        extra = [t["content"] for t in spec.get("added_tokens", []) if not t.get("special")]
+        if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or extra:
+            raise ValueError(f"{path}: not a byte-level vocabulary of merges")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         number: dict[str, int] = {}
         for s in byte_symbols():

@@ -7,7 +7,8 @@ holds one row. No row is sorted; every pass sees all rows of the buckets it open
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that are equal in id and
 text share a hash and are taken together, so with many such rows at the boundary a source can miss its target by half their
-size; an empty table gives no rows. The number of sources is a catalogue: their totals meet on the driver, no row does.
+size; a text of any length is one row; other columns, of whatever name, stay as they were in take() and aren't read in mix(); an
+empty table gives no rows. The number of sources is a catalogue: their totals meet on the driver, no row does.
 """
 
 from __future__ import annotations
