@@ -1,8 +1,10 @@
 """A training-data pipeline of five stages; each reads what the one before has written.
 
 Every stage takes (spark, docs, sf_dir), works on all of docs and returns a DataFrame: the columns of documents, and from the
-last stage the shard of each row. Rows with nulls, empty texts and repeated rows go through; see the operators for what holds
-in each case. The mix repeats rows: a document that it takes twice is two equal rows from there on.
+last stage the shard of each row. What a stage does with odd rows: toxicity keeps null and empty texts and judges equal rows
+alike; near copies keeps all null and empty texts and one of equal rows; decontamination keeps null and empty texts; mixing
+takes texts without words as often as the source's threshold says; sharding puts null and empty texts into one group. Ties,
+very long texts, an empty table and further columns are no special case in any: see the operators. The mix repeats rows: a document that it takes twice is two equal rows from there on.
 """
 
 from __future__ import annotations
@@ -47,7 +49,8 @@ STAGES = [
     ("sharding", make_shards),
 ]
 
-#: SQL can't express the trained model, the banded alignment or the hashes; tests compare each stage with brute force.
+#: SQL can't express the trained model, the banded alignment or the hashes; tests/llm/test_pipeline.py compares each stage with
+#: brute force.
 ORACLE_SQL = None
 
 
