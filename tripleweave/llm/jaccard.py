@@ -9,8 +9,8 @@ comes from a table of counts by hash cell over all documents (any table gives th
 number of sub-classes depends on the set's size band; a set is indexed under its own band and the one above, and partners'
 bands differ by one at most.
 
-Sets that are equal form one class first, and the classes that share a signature are its list. A list's hub is its smallest
-set. Lists are verified twice. First every class is compared with one hub, that of which its lists speak most (a list of m
+Sets that are equal form one class first. The classes that share a signature and are of one size band or the band below are a
+list; sets that link are in one band or in neighbours. A list's hub is its smallest set. Lists are verified twice. First every class is compared with one hub, that of which its lists speak most (a list of m
 classes with weight 1/m): one comparison a class, whatever the lists' lengths, which joins large groups of near copies.
 Then only lists whose classes are still in several groups are left, and those with one hub are taken together: their classes
 meet in blocks of bounded bytes, those of one group not again, and a link counts if it joins something new. So every pair
@@ -96,7 +96,7 @@ def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
         return np.log2(total + 1.0).astype(np.uint8)
 
     parts = docs.select("text").mapInArrow(run, "part int, n binary")
-    some = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("part", "lot").applyInPandas(add_up(counts), "part int, n binary")
+    some = parts.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(8))).groupBy("part", "lot").applyInPandas(add_up(counts), "part int, n binary")
     out = np.zeros(cells, np.uint8)
     for r in some.groupBy("part").applyInPandas(add_up(levels), "part int, n binary").collect():
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(zlib.decompress(r["n"]), np.uint8)
@@ -178,14 +178,21 @@ def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame
     return map_batches(docs.select("doc_id", "text"), start, new, ["doc_id"])
 
 
-def _lists(found: DataFrame) -> DataFrame:
-    """(sig, node, hub, center, many), each once: the classes of each signature that several share, its smallest set as a
-    number and as a class, and about how many they are. Hubs that fall on one number by chance only meet each other too."""
+def _lists(found: DataFrame, percent: int) -> DataFrame:
+    """(list, node, hub, center, many), each once: the classes of each signature that several share, of one size band and the
+    one below; the list's smallest set as a number and as a class, and how many they are. Hubs that fall on one number by
+    chance only meet each other too."""
+    sig = found.select(F.explode("signatures").alias("sig"), "node", "n_shingles")
+    many = sig.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least != last").select("sig")
+    sig = materialize(sig.join(small(materialize(many, "signatures")), "sig"), "shared")
     key = F.shiftleft(F.least("n_shingles", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
-    sig = found.select(F.explode("signatures").alias("sig"), "node", key.alias("key"))
-    many = sig.groupBy("sig").agg(F.min("key").alias("hub"), F.min_by("node", "key").alias("center"), F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("many"))
-    many = materialize(many.where("least != last").select("sig", "hub", "center", "many"), "signatures")
-    return materialize(sig.drop("key").join(small(many), "sig").distinct(), "lists")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / _band_width(percent) + 1e-9).cast("int")
+    each = sig.select("sig", "node", key.alias("key"), band.alias("own")).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    each = each.select(F.xxhash64("sig", "band").alias("list"), "node", "key", (F.col("own") == F.col("band")).alias("own"))
+    # a list needs two classes, one of them of the band itself
+    met = each.groupBy("list").agg(F.min("key").alias("hub"), F.min_by("node", "key").alias("center"), F.min("node").alias("least"), F.max("node").alias("last"), F.max("own").alias("own"), F.count(F.lit(1)).alias("many"))
+    met = materialize(met.where("least != last and own").select("list", "hub", "center", "many"), "met")
+    return materialize(each.select("list", "node").join(small(met), "list").distinct(), "lists")
 
 
 def _sets(docs: DataFrame, found: DataFrame, lists: DataFrame, k: int) -> DataFrame:
@@ -338,16 +345,16 @@ def _meet(sets: DataFrame, member: DataFrame, percent: int, whole: bool) -> Data
 def _rest(sets: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): the links within lists whose classes are in several groups (node, group; a class without is its own group),
     by hub."""
-    member = lists.select("sig", "node", "hub").join(small(groups), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    left = member.groupBy("sig").agg(F.min("group").alias("g"), F.max("group").alias("z")).where("g != z").select("sig")
-    member = materialize(member.join(small(materialize(left, "lists-left")), "sig").select("hub", "node", "group").distinct(), "met")
+    member = lists.select("list", "node", "hub").join(small(groups), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    left = member.groupBy("list").agg(F.min("group").alias("g"), F.max("group").alias("z")).where("g != z").select("list")
+    member = materialize(member.join(small(materialize(left, "lists-left")), "list").select("hub", "node", "group").distinct(), "met")
     likely = _meet(sets, member, percent, False).select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
     return _meet(sets, materialize(member.join(small(materialize(likely, "likely")), ["hub", "node"]), "met"), percent, True)
 
 
 def _links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, root): the components of all links between classes; a class without a link isn't there."""
-    lists = _lists(found)
+    lists = _lists(found, percent)
     sets = _sets(docs, found, lists, k)
     met = lists.where("node != center").groupBy("node", "center").agg(F.sum(1 / F.col("many")).alias("weight"))
     best = materialize(met.groupBy("node").agg(F.max_by("center", "weight").alias("hub")), "best")
