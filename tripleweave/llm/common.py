@@ -75,6 +75,17 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
+def release() -> None:
+    """Give memory that this process no longer uses back to the machine: Python workers live on after a task, and what their
+    allocators keep adds up with the next task's memory. Elsewhere than on glibc only Arrow's share is given back."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], dict]], new: list[T.StructField], keep: list[str] | None = None
 ) -> DataFrame:
@@ -94,6 +105,8 @@ def map_batches(
                 old = [c.take(pa.array(rows, pa.int64())) for c in old]
             fresh = [pa.array(out[f.name], f.type) for f in kinds]
             yield pa.RecordBatch.from_arrays([*old, *fresh], names=[*keep, *kinds.names])
+        del work
+        release()
 
     return df.mapInArrow(run, schema)
 

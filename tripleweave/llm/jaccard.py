@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, load, map_batches, materialize, numbered, small, texts
+from .common import components, load, map_batches, materialize, numbered, release, small, texts
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
 #: Hash cells of the table of counts, its slices, the bytes of sets in one block, and the prints a task keeps in mind.
@@ -76,6 +76,8 @@ def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
         add()
         if total.any():
             slices = [zlib.compress(total[i : i + width].tobytes(), 1) for i in range(0, cells, width)]
+            del total
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(range(slices_), pa.int32()), pa.array(slices, pa.binary())], names=["part", "n"])
 
     def add_up(finish):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, load, map_batches, materialize, texts
+from .common import fold, load, map_batches, materialize, release, texts
 from .vectors import word_hashes
 
 BITS, DIM, SIZES = 19, 8, (3, 4, 5, 6)
@@ -237,8 +237,11 @@ def train(rows: DataFrame) -> Model:
 
     def run(batches):
         held = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())]
-        held = sorted(held, key=lambda r: r[2:])
-        yield pa.RecordBatch.from_arrays([pa.array([fit([(t or "", y) for t, y, _, _ in held]).dump()], pa.binary())], names=["model"])
+        held = [(t or "", y) for t, y, _, _ in sorted(held, key=lambda r: r[2:])]
+        model = fit(held).dump()
+        held.clear()
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     one = materialize(rows.select("text", "y", "h", "t").coalesce(1).mapInArrow(run, "model binary"), "toxicity")
     found = one.first()
