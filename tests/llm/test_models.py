@@ -150,3 +150,71 @@ def test_pivots(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(n, n + 5))
     assert got[n + 5].n_links == got[n + 6].n_links == 1 and got[n + 6].component_id == n + 5
     assert all(got[i].component_id == 0 for i in range(150 + 180, 150 + 260))
+
+
+def _plain(model, classes, start):
+    """The log10 probability of a text's classes, token by token, without batches, masks or padding."""
+    w = {k: x.astype(np.float64) for k, x in model.w.items()}
+    before, total = [start, *classes[:-1]], 0.0
+    for t, target in enumerate(classes):
+        first = 0 if t < attention.WINDOW else (t - attention.HALF) // attention.HALF * attention.HALF
+        x = [w["emb"][before[i]] + w["pos"][i - first] for i in range(first, t + 1)]
+        q = x[-1] @ w["q"]
+        s = np.array([q @ (y @ w["k"]) for y in x]) / math.sqrt(attention.DIM)
+        p = np.exp(s - s.max())
+        a = sum(c * (y @ w["v"]) for c, y in zip(p / p.sum(), x))
+        z = np.tanh(x[-1] + a @ w["o"]) @ w["out"] + w["bias"]
+        total += z[target] - z.max() - math.log(np.exp(z - z.max()).sum())
+    return total / math.log(10)
+
+
+def test_attention_score_is_that_of_a_plain_loop(spark):
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    r = random.Random(5)
+    rows = [(i, prose(r, n)) for i, n in enumerate([0, 1, 30, 31, 32, 33, 47, 48, 49, 50, 200, 700] * 4)]
+    docs = docs_of(spark, rows)
+    held_out = attention.fold() == 1
+    scorer, *_ = attention.learn(docs, path, held_out, 30, 20)
+    scorer.prepare()
+    got = scorer.batch([t for _, t in rows])["model"]
+    for (_, t), x in zip(rows[:12], got):
+        classes = [*scorer.tokens(t)[0].tolist(), attention.END]
+        assert x == pytest.approx(_plain(scorer.model, classes, attention.CLASSES), rel=1e-4)
+
+
+def test_attention_gradients():
+    r = np.random.default_rng(1)
+    m = attention.Attention(9, np.full(9, 1 / 9))
+    ids, y = r.integers(0, 10, (4, attention.WINDOW)), r.integers(0, 9, (4, attention.WINDOW))
+    g = m.gradients(ids, y)
+    m.w = {k: x.astype(np.float64) for k, x in m.w.items()}
+    for name, x in m.w.items():
+        at = tuple(r.integers(0, n) for n in x.shape)
+        old, e = x[at], 1e-5
+        x[at] = old + e
+        up = -m.log_probs(ids, y, 0).mean()
+        x[at] = old - e
+        down = -m.log_probs(ids, y, 0).mean()
+        x[at] = old
+        assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=2e-2, abs=2e-6), name
+
+
+def test_attention_learns_from_all_parts_of_the_table(spark):
+    """The pass goes over rows of every partition: the held-out loss falls from an unfitted start, and more rows are more steps."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    r = random.Random(6)
+    docs = docs_of(spark, [(i, prose(r, 60)) for i in range(400)]).repartition(4)
+    scorer, *_ = attention.learn(docs, path, attention.fold() == 1, 1, 1)
+    scorer.prepare()
+    ids, y, _ = attention.windows(np.concatenate([scorer.tokens(prose(r, 400))[0], [attention.END]]), attention.CLASSES)
+    before = scorer.model.log_probs(ids, y, 0).mean()
+    scorer.words, scorer.place, scorer.sub = {}, {}, None
+    attention.refine(docs, scorer, 1)
+    assert scorer.model.log_probs(ids, y, 0).mean() > before
+    kept = scorer.model.flat()
+    attention.refine(docs.limit(0), scorer, 1)
+    assert (scorer.model.flat() == kept).all()
