@@ -168,6 +168,19 @@ def test_files_and_streams(spark, engine, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['<http://ex.org/v/1> <http://ex.org/w> "a" .']
 
 
+def test_strict(spark, engine):
+    from tripleweave.mapping import TriplesMap, column, predicate_object, template
+
+    m = TriplesMap("m", template("http://ex.org/v/{id}"), pos=[predicate_object("http://ex.org/w", column("w", kind="I"))])
+    good = spark.createDataFrame([("a b", "http://ex.org/x"), ("c", None)], "id string, w string")
+    assert rows(rdf.map_dataframe(engine, m, good, True).select("s", "o")) == [("<http://ex.org/v/a%20b>", "<http://ex.org/x>")]
+    bad = spark.createDataFrame([("a", "http://ex.org/x y")], "id string, w string")
+    assert rdf.map_dataframe(engine, m, bad).count() == 1
+    with pytest.raises(Exception, match="not an IRI: http://ex.org/x y"):
+        rdf.map_dataframe(engine, m, bad, True).collect()
+    assert rows(engine.quads(strict=True)) == rows(engine.quads())
+
+
 @pytest.mark.parametrize("text", ["SELECT * WHERE { GRAPH ?g { ?s ?p ?o } }", "SELECT * WHERE { SERVICE <http://x> { ?s ?p ?o } }", "SELECT * FROM <http://x> WHERE { ?s ?p ?o }"])
 def test_refused(engine, text):
     with pytest.raises(QueryError):

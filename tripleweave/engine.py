@@ -1034,11 +1034,11 @@ class Engine:
         """One triple pattern."""
         return self._arms(s, p, o, self._candidates(s, p, o, negated), negated)
 
-    def quads(self, distinct: bool = False) -> DataFrame:
+    def quads(self, distinct: bool = False, strict: bool = False) -> DataFrame:
         """The whole graph, see operators.rdf."""
         from .operators.rdf import quads
 
-        return quads(self, distinct)
+        return quads(self, distinct, strict)
 
 
 def nt(v: Value) -> Column:
