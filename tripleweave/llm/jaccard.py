@@ -311,12 +311,12 @@ def _verify(block: dict, percent: int, whole: bool) -> list[tuple[int, int]]:
     return out if whole else [(block["hub"][0], int(x)) for x in node[hit]]
 
 
-def _meet(sets: DataFrame, member: DataFrame, percent: int, whole: bool) -> DataFrame:
+def _meet(sets: DataFrame, sizes: DataFrame, member: DataFrame, percent: int, whole: bool) -> DataFrame:
     """_verify() of the members (hub, node, group) of each hub; those that are too many for a task are cut into blocks that meet
-    in pairs."""
+    in pairs. sizes: (node, n) of sets, written down apart, so that no set is read to be measured."""
     sets = sets.select("node", "n", F.col("set" if whole else "short").alias("set"))
-    size = member.join(small(materialize(sets.select("node", F.octet_length("set").alias("bytes")), "sizes")), "node").groupBy("hub")
-    size = size.agg(F.sum("bytes").alias("bytes"), F.min("group").alias("g"), F.max("group").alias("z")).where("g != z")
+    size = member.join(small(sizes), "node").groupBy("hub")
+    size = size.agg((F.sum("n") * (8 if whole else 2)).alias("bytes"), F.min("group").alias("g"), F.max("group").alias("z")).where("g != z")
     blocks = size.select("hub", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
     rows = member.join(small(materialize(blocks, "blocks")), "hub")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -350,8 +350,9 @@ def _rest(sets: DataFrame, lists: DataFrame, groups: DataFrame, percent: int) ->
     member = lists.select("list", "node", "hub").join(small(groups), "node", "left").withColumn("group", F.coalesce("group", "node"))
     left = member.groupBy("list").agg(F.min("group").alias("g"), F.max("group").alias("z")).where("g != z").select("list")
     member = materialize(member.join(small(materialize(left, "lists-left")), "list").select("hub", "node", "group").distinct(), "met")
-    likely = _meet(sets, member, percent, False).select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
-    return _meet(sets, materialize(member.join(small(materialize(likely, "likely")), ["hub", "node"]), "met"), percent, True)
+    sizes = materialize(sets.select("node", "n"), "sizes")
+    likely = _meet(sets, sizes, member, percent, False).select(F.col("a").alias("hub"), F.col("b").alias("node")).distinct()
+    return _meet(sets, sizes, materialize(member.join(small(materialize(likely, "likely")), ["hub", "node"]), "met"), percent, True)
 
 
 def _links(docs: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
