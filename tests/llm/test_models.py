@@ -218,3 +218,20 @@ def test_attention_learns_from_all_parts_of_the_table(spark):
     kept = scorer.model.flat()
     attention.refine(docs.limit(0), scorer, 1)
     assert (scorer.model.flat() == kept).all()
+
+
+def test_attention_pass_is_over_every_training_token(spark):
+    """Each token of each training row is a target once."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    r = random.Random(7)
+    rows = [(i, prose(r, r.choice([0, 1, 31, 32, 33, 300]))) for i in range(200)] + [(None, None), (900, None)]
+    docs = docs_of(spark, rows).repartition(3)
+    train = docs.where(attention.fold() != 1)
+    scorer, _, total, *_ = attention.learn(docs, path, attention.fold() == 1, 1, 1)
+    assert attention.refine(train, scorer) == total == sum(len((x.text or "").split()) + 1 for x in train.collect())
+    classes = np.arange(70) % 9
+    ids, y = attention.cuts(classes, attention.CLASSES)
+    assert y.ravel()[:70].tolist() == classes.tolist() and ids.ravel()[:70].tolist() == [attention.CLASSES, *classes[:-1]]
+    assert y.shape == (3, attention.WINDOW) and set(y.ravel()[70:].tolist()) == {attention.END}

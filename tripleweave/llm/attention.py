@@ -8,10 +8,10 @@ classes before it; within a class the corpus counts give the word's, so
     log10 P(token | text before) = log10 P(class | classes before) + log10 (c + 0.5) / (N_class + 0.5 (V_class + 1)),
 
 which is the base measure with its fixed class shares replaced by the model's. Words, ids and classes are counted over all
-training documents. The attention weights (one layer, one head, learned positions) are fitted by Adam in two steps: a start on
-windows of at most `SAMPLE` training documents in the driver, then, from there on, one pass over a fixed share of all training
-documents (one in `EVERY`, by hash) on the executors: each task goes on from the start with its own rows, and the tasks' weights
-are averaged by their windows. So what is learnt from grows with the input.
+training documents. The attention weights (one layer, one head, learned positions) are fitted by Adam in one pass over every training
+document on the executors, where each token is a target once: each task goes on from the same start with its own rows, and the
+tasks' weights are averaged by their windows. The start, from where the pass goes, is fitted in the driver on windows of at
+most `SAMPLE` training documents, so that small tables have steps enough.
 
 Scoring cuts a text's classes into windows of `WINDOW` that overlap by half; each token is scored once, in the window where it
 has the longest context, with keys and values of all places and queries of the second half only. The counts of the `KNOWN`
@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, load, map_batches, materialize, small, texts
+from .common import fold, load, map_batches, materialize, release, texts
 from .vectors import fold_case
 
 LEAD, CLASSES, DIM, WINDOW = 4, 160, 24, 32
 #: Words whose counts are broadcast; training documents that start the attention weights, and the start's steps.
 KNOWN, SAMPLE, STEPS = 100_000, 1500, 900
-#: One training document in so many goes into the pass on the executors; its rate; windows a step.
-EVERY, RATE, LOT = 32, 1e-3, 128
+#: The rate of the pass on the executors; windows a step; windows whose arrays are made at once (they stay in the cache).
+RATE, LOT, BLOCK = 1e-3, 128, 16
 #: Words that a task counts before it sends what it has.
 HELD = 400_000
 HALF = WINDOW // 2
@@ -104,6 +104,9 @@ def word_counts(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("text").mapInArrow(run, "hash long, lead int, n long").groupBy("hash", "lead").agg(F.sum("n").alias("n"))
 
 
+_MASK = np.where(np.arange(WINDOW)[None, :] > np.arange(WINDOW)[:, None], np.float32(-1e9), np.float32(0))
+
+
 class Attention:
     """One causal self-attention layer over classes, and a softmax over the next class."""
 
@@ -117,50 +120,79 @@ class Attention:
         }
 
     def _forward(self, ids: np.ndarray, first: int):
-        w = self.w
-        x = w["emb"][ids] + w["pos"]
-        xq = x[:, first:]
-        q, k, v = xq @ w["q"], x @ w["k"], x @ w["v"]
-        s = (q @ k.transpose(0, 2, 1)) / np.float32(math.sqrt(DIM))
-        mask = np.arange(WINDOW)[None, :] > np.arange(first, WINDOW)[:, None]
-        s = np.where(mask, np.float32(-1e9), s)
-        np.exp(s - s.max(2, keepdims=True), out=s)
-        s /= s.sum(2, keepdims=True)
-        a = s @ v
-        h = np.tanh(xq + a @ w["o"])
-        z = h @ w["out"] + w["bias"]
-        return x, xq, q, k, v, s, a, h, z
+        """Of a few windows, a row a place: what the layers give, up to exp(logits) and their sums."""
+        w, d, many = self.w, DIM, len(ids)
+        x = w["emb"].take(ids, 0)
+        x += w["pos"]
+        x = x.reshape(-1, d)
+        xq = x if not first else np.ascontiguousarray(x.reshape(many, WINDOW, d)[:, first:]).reshape(-1, d)
+        q, k, v = (e.reshape(many, -1, d) for e in (xq @ w["q"], x @ w["k"], x @ w["v"]))
+        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        s *= np.float32(1 / math.sqrt(d))
+        s += _MASK[first:]
+        s -= s.max(2, keepdims=True)
+        np.exp(s, out=s)
+        s /= (s @ np.ones(WINDOW, s.dtype))[..., None]
+        a = (s @ v).reshape(-1, d)
+        h = a @ w["o"]
+        h += xq
+        np.tanh(h, out=h)
+        z = h @ w["out"]
+        z += w["bias"]
+        return x, q, k, v, s, a, h, z
+
+    def _exp(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """(exp(z - top), top), in z's place; as |h| < 1, a bound of the weights tells whether a top is needed."""
+        top: np.ndarray | float = 0.0
+        if not np.abs(self.w["out"]).sum(0).max() + np.abs(self.w["bias"]).max() < 60:
+            top = z.max(1)
+            z -= top[:, None]
+        return np.exp(z, out=z), top
 
     def log_probs(self, ids: np.ndarray, targets: np.ndarray, first: int) -> np.ndarray:
         """Natural logarithms of the targets' probabilities; ids: what stands before each target, in windows; the targets
         of the places from `first` on."""
-        z = self._forward(ids, first)[-1]
-        top = z.max(2, keepdims=True)
-        total = np.log(np.exp(z - top).sum(2)) + top[..., 0]
-        return np.take_along_axis(z, targets[..., None], 2)[..., 0] - total
+        out = []
+        for at in range(0, len(ids), BLOCK):
+            z = self._forward(ids[at : at + BLOCK], first)[-1]
+            picked = z[np.arange(len(z)), targets[at : at + BLOCK].ravel()]
+            e, top = self._exp(z)
+            out.append((picked - top - np.log(e @ np.ones(e.shape[1], e.dtype))).reshape(-1, WINDOW - first))
+        return np.concatenate(out) if out else np.zeros((0, WINDOW - first), np.float32)
 
     def gradients(self, i: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over windows (ids before, targets), masked causally."""
-        w = self.w
-        x, xq, q, k, v, s, a, h, z = self._forward(i, 0)
-        p = np.exp(z - z.max(2, keepdims=True))
-        p /= p.sum(2, keepdims=True)
-        np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], 2) - 1, 2)
-        p /= y.size
-        g = {"out": np.einsum("btd,btc->dc", h, p, optimize=True), "bias": p.sum((0, 1))}
-        dh = (p @ w["out"].T) * (1 - h * h)
-        g["o"] = np.einsum("btd,bte->de", a, dh, optimize=True)
-        da = dh @ w["o"].T
-        ds = da @ v.transpose(0, 2, 1)
+        total: dict[str, np.ndarray] = {}
+        scale = np.float32(1 / max(1, y.size))
+        for at in range(0, len(i), BLOCK):
+            for name, x in self._gradients(i[at : at + BLOCK], y[at : at + BLOCK].ravel(), scale).items():
+                total[name] = total[name] + x if name in total else x
+        return total
+
+    def _gradients(self, i: np.ndarray, y: np.ndarray, scale: np.float32) -> dict[str, np.ndarray]:
+        w, d, many = self.w, DIM, len(i)
+        x, q, k, v, s, a, h, z = self._forward(i, 0)
+        p, _ = self._exp(z)
+        p *= (scale / (p @ np.ones(p.shape[1], p.dtype)))[:, None]
+        p[np.arange(len(y)), y] -= scale
+        g = {"out": h.T @ p, "bias": np.ones(len(p), p.dtype) @ p}
+        dh = p @ w["out"].T
+        dh *= 1 - h * h
+        g["o"] = a.T @ dh
+        da = (dh @ w["o"].T).reshape(many, WINDOW, d)
         dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(2, keepdims=True)) / np.float32(math.sqrt(DIM))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = np.einsum("btd,bte->de", x, d, optimize=True)
-        dx = dh + dq @ w["q"].T + dk @ w["k"].T + dv @ w["v"].T
-        g["pos"] = dx.sum(0)
-        flat = i.ravel()
-        g["emb"] = np.stack([np.bincount(flat, dx[..., c].ravel(), minlength=len(w["emb"])) for c in range(DIM)], 1).astype(np.float32)
+        ds = da @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        ds -= np.einsum("btd,btd->bt", da, a.reshape(da.shape))[..., None]
+        ds *= s
+        ds *= np.float32(1 / math.sqrt(d))
+        dx = dh
+        for name, part in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", dv)):
+            part = part.reshape(-1, d)
+            g[name] = x.T @ part
+            dx = dx + part @ w[name].T
+        g["pos"] = dx.reshape(many, WINDOW, d).sum(0)
+        flat = (i.reshape(-1, 1) * d + np.arange(d)).ravel()
+        g["emb"] = np.bincount(flat, dx.ravel(), minlength=w["emb"].size).reshape(w["emb"].shape).astype(np.float32)
         return g
 
     def fit(self, ids: np.ndarray, targets: np.ndarray, steps: int, rate: float = 4e-3, seed: int = 4) -> None:
@@ -206,6 +238,16 @@ def windows(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np
     return before[at], after[at], np.minimum(n - np.arange(more + 1) * HALF, WINDOW)
 
 
+def cuts(classes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one text's classes: windows to learn from, (ids, targets), one after the other, so that each token is a target
+    once; beyond the text's end, as in windows(), ends follow starts."""
+    size = -(-len(classes) // WINDOW) * WINDOW
+    before, after = np.full(size, start), np.full(size, END)
+    before[1 : len(classes)] = classes[:-1]
+    after[: len(classes)] = classes
+    return before.reshape(-1, WINDOW), after.reshape(-1, WINDOW)
+
+
 class Scorer:
     """What a task needs: the frequent words' classes and counts, classes by subword id, and the model."""
 
@@ -239,10 +281,10 @@ class Scorer:
         cls = np.where(at >= 0, self.word_class[np.maximum(at, 0)] if len(self.word_class) else 0, -1 - at)
         return cls, at[at >= 0], rare
 
-    def batch(self, batch_texts: list[str]) -> dict:
-        out = {"n_tokens": [], "n_top": [], "sum_top": [], "norm": [], "rare": []}
-        firsts, rests, every = [], [], []
-        for d, t in enumerate(batch_texts):
+    def read(self, batch_texts: list[str]) -> dict:
+        """Of each text: its tokens, what the counts give, hashes of rare words, and the classes (a byte each, the end last)."""
+        out: dict[str, list] = {"n_tokens": [], "n_top": [], "sum_top": [], "norm": [], "rare": [], "classes": []}
+        for t in batch_texts:
             cls, top, rare = self.tokens(t)
             cls = np.concatenate([cls, [END]])
             out["n_tokens"].append(len(cls))
@@ -250,23 +292,40 @@ class Scorer:
             out["sum_top"].append(float(self.log_count[top].sum()))
             out["norm"].append(float(self.norm[cls].sum()))
             out["rare"].append(rare)
-            every.append(windows(cls, self.classes))
+            out["classes"].append(cls.astype(np.uint8).tobytes())
+        return out
+
+    def log_model(self, classes: list[bytes]) -> list[float]:
+        """The model's log10 probability of each text's classes."""
+        every = [windows(np.frombuffer(c, np.uint8).astype(np.int64), self.classes) for c in classes]
+        if not every:
+            return []
         doc = np.repeat(np.arange(len(every)), [len(x[0]) for x in every])
         ids, after, n = (np.concatenate([x[j] for x in every]) for j in range(3))
-        head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
-        total = np.zeros(len(batch_texts))
+        head = np.concatenate([[True], doc[1:] != doc[:-1]])
+        total = np.zeros(len(every))
         for use, first in ((np.flatnonzero(head), 0), (np.flatnonzero(~head), HALF)):
             for a in range(0, len(use), 512):
                 u = use[a : a + 512]
                 lp = self.model.log_probs(ids[u], after[u, first:], first)
                 lp = np.where(np.arange(first, WINDOW) < n[u][:, None], lp, 0).sum(1, dtype=np.float64)
                 total += np.bincount(doc[u], lp, minlength=len(total))
-        out["model"] = (total / math.log(10)).tolist()
-        return out
+        return (total / math.log(10)).tolist()
+
+    def batch(self, batch_texts: list[str]) -> dict:
+        out = self.read(batch_texts)
+        return out | {"model": self.log_model(out["classes"])}
 
 
 def learn(docs: DataFrame, path: str, held_out, sample: int = SAMPLE, steps: int = STEPS):
-    """(Scorer, counts (hash, n), N, V, ends) from the rows of docs that aren't held_out."""
+    """(Scorer, counts (hash, n), N, V, ends) from all rows of docs that aren't held_out."""
+    scorer, *rest = begin(docs, path, held_out, sample, steps)
+    refine(docs.where(~held_out), scorer)
+    return scorer, *rest
+
+
+def begin(docs: DataFrame, path: str, held_out, sample: int, steps: int):
+    """What learn() gives, before the pass over all rows: the weights are at their start."""
     train = docs.where(~held_out)
     counts = materialize(word_counts(train, path), "counts")
     ends = train.count()
@@ -299,27 +358,26 @@ def learn(docs: DataFrame, path: str, held_out, sample: int = SAMPLE, steps: int
     h = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(1 << 30))
     share = min(1.0, 2 * sample / max(1, ends))  # twice as many as needed on average; then rows are counted out
     drawn = train.where(h < int(share * (1 << 30))).select("text", h.alias("h")).orderBy("h", F.xxhash64("text")).limit(sample).collect()
-    data = [windows(np.concatenate([scorer.tokens(t)[0], [END]]), CLASSES) for t in sorted(r[0] or "" for r in drawn)]
+    data = [cuts(np.concatenate([scorer.tokens(t)[0], [END]]), CLASSES) for t in sorted(r[0] or "" for r in drawn)]
     if data:
         ids, after = np.concatenate([x[0] for x in data]), np.concatenate([x[1] for x in data])
         model.fit(ids, after, steps)
     scorer.words, scorer.place, scorer.sub = {}, {}, None
-    refine(train, scorer)
     return scorer, counts, words + ends, distinct + int(ends > 0), ends
 
 
-def refine(train: DataFrame, scorer: Scorer, every: int = EVERY) -> None:
-    """Move the model's weights by one pass over one document in `every`. Weights are added up in lots of tasks on the
+def refine(train: DataFrame, scorer: Scorer, every: int = 1) -> int:
+    """Move the model's weights by one pass over all rows of train (every > 1: over one in `every`, by hash), which have a
+    `text` or, from Scorer.read, `classes`; the number of tokens learnt from. Weights are added up in lots of tasks on the
     executors, so the driver meets 16 rows whatever the input. Without a document the weights stay."""
     shared = train.sparkSession.sparkContext.broadcast(scorer)
+    column = "classes" if "classes" in train.columns else "text"
 
     def run(batches):
         s = shared.value
-        if not getattr(s, "sub", None):
-            s.prepare()
         model = Attention(CLASSES, np.ones(CLASSES))
         model.unflat(s.model.flat())
-        adam, held, many, done = Adam(model), [], 0, 0
+        adam, held, many, done, tokens = Adam(model), [], 0, 0, 0
 
         def step(least):
             nonlocal held, many, done
@@ -332,32 +390,41 @@ def refine(train: DataFrame, scorer: Scorer, every: int = EVERY) -> None:
             held, many, done = [(ids[end:], after[end:])], many - end, done + end
 
         for batch in batches:
-            for t in texts(batch):
-                held.append(windows(np.concatenate([s.tokens(t)[0], [END]]), CLASSES))
+            if column == "text" and not getattr(s, "sub", None):
+                s.prepare()
+            found = s.read(texts(batch))["classes"] if column == "text" else batch.column(0).to_pylist()
+            for c in found:
+                held.append(cuts(np.frombuffer(c, np.uint8).astype(np.int64), CLASSES))
                 many += len(held[-1][0])
+                tokens += len(c)
                 step(LOT)
         step(1)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([(model.flat().astype(np.float64) * done).tobytes()], pa.binary()), pa.array([done], pa.int64())], names=["w", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([(model.flat().astype(np.float64) * done).tobytes()], pa.binary()), pa.array([done], pa.int64()), pa.array([tokens], pa.int64())],
+                names=["w", "n", "tokens"],
+            )
+        release()
 
     def add(key, pdf):
         import pandas as pd
 
         total = sum(np.frombuffer(x, np.float64) for x in pdf["w"])
-        return pd.DataFrame({"w": [total.tobytes()], "n": [int(pdf["n"].sum())]})
+        return pd.DataFrame({"w": [total.tobytes()], "n": [int(pdf["n"].sum())], "tokens": [int(pdf["tokens"].sum())]})
 
-    some = train.where(F.pmod(F.xxhash64(F.lit("pass"), "doc_id", "text"), F.lit(every)) == 0)
-    parts = some.select("text").mapInArrow(run, "w binary, n long").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("lot"))
-    found = parts.applyInPandas(add, "w binary, n long").collect()
+    some = train.where(F.pmod(F.xxhash64(F.lit("pass"), *train.columns), F.lit(every)) == 0) if every > 1 else train
+    parts = some.select(column).mapInArrow(run, "w binary, n long, tokens long").groupBy(F.pmod(F.spark_partition_id(), F.lit(16)).alias("lot"))
+    found = parts.applyInPandas(add, "w binary, n long, tokens long").collect()
     if found:
         scorer.model.unflat(sum(np.frombuffer(r["w"], np.float64) for r in found) / sum(r["n"] for r in found))
     shared.unpersist()
+    return sum(r["tokens"] for r in found)
 
 
 def score(docs: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     held_out = fold() == 1
-    scorer, counts, total, distinct, ends = learn(docs, path, held_out, sample, steps)
+    scorer, counts, total, distinct, ends = begin(docs, path, held_out, sample, steps)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def start():
@@ -365,16 +432,26 @@ def score(docs: DataFrame, path: str, sample: int = SAMPLE, steps: int = STEPS)
         if not getattr(s, "sub", None):
             s.prepare()
 
-        return lambda batch: s.batch(texts(batch))
+        return lambda batch: s.read(texts(batch))
 
     L, D = T.LongType(), T.DoubleType()
-    new = [T.StructField("n_tokens", L), T.StructField("n_top", L), T.StructField("sum_top", D), T.StructField("norm", D), T.StructField("rare", T.ArrayType(L)), T.StructField("model", D)]
+    new = [T.StructField("n_tokens", L), T.StructField("n_top", L), T.StructField("sum_top", D), T.StructField("norm", D), T.StructField("rare", T.ArrayType(L)), T.StructField("classes", T.BinaryType())]
     rows = map_batches(docs.select("doc_id", "text"), start, new, ["doc_id"]).withColumn("held_out", held_out)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm")
+    learnt = refine(rows.where("not held_out").select("classes"), scorer)
+    if learnt != total:
+        raise RuntimeError(f"op2: learnt from {learnt} of {total} training tokens")
+    scored = docs.sparkSession.sparkContext.broadcast(Scorer(path, *[np.zeros(0)] * 4, scorer.model, scorer.norm, CLASSES))
+
+    def model():
+        return lambda batch: {"model": scored.value.log_model(batch.column(batch.schema.get_field_index("classes")).to_pylist())}
+
+    keep = ["row", "doc_id", "held_out", "n_tokens", "n_top", "sum_top", "norm"]
+    out = map_batches(rows.select(*keep, "classes"), model, [T.StructField("model", D)], keep)
     rare = rows.select("row", F.explode("rare").alias("hash"))
     rare = rare.join(counts.select("hash", "n"), "hash", "left").groupBy("row")
     rare = rare.agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("sum_rare"), F.count("n").alias("n_rare"))
-    out = rows.drop("rare").join(rare, "row", "left")
+    out = out.join(rare, "row", "left")
     top = F.col("sum_top") + F.coalesce("sum_rare", F.lit(0.0)) + F.lit(math.log10(ends + 0.5))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("n_rare", F.lit(0)) + int(ends > 0)).alias("n_known"),
