@@ -134,6 +134,23 @@ def test_quality(spark, odd):
     assert quality.judge(odd, lab.limit(0)).where("kept").count() == 4  # the rows with words
 
 
+def test_quality_learns_from_all_trusted_documents(spark):
+    """The joined sums are the plain model's perplexities, with and without frequent keys; all trusted documents learn or judge."""
+    r = random.Random(8)
+    rows = [(i, prose(r, r.choice([0, 1, 2, 30]))) for i in range(80)] + [(90, None), (91, "all of it unheard")]
+    docs = docs_of(spark, rows)
+    half = docs.where("doc_id % 2 = 0 and doc_id < 80")
+    model = quality.Model([tuple(np.array(c, np.int64) for c in d.toArrow().columns) for d in quality.counts(half)])
+    want = dict(zip([i for i, _ in rows], model.many([quality.word_hashes(quality.fold_case(t or "")) for _, t in rows])))
+    table, unknown = quality.values(half)
+    for hot, bits in ((0, 29), (100, 15), (1 << 20, 16)):
+        got = {x.doc_id: x.perplexity for x in quality.perplexity(docs, table, unknown, ["doc_id"], hot, bits).collect()}
+        assert got == {i: None if p is None else pytest.approx(p, rel=1e-9) for i, p in want.items()}
+    many = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), "id").alias("text"), F.lit("en").alias("lang"))
+    judged = quality.judge(many, many.select("doc_id", F.lit(1).alias("quality")))
+    assert 2700 < judged.groupBy(F.round("perplexity", 6)).count().agg(F.min("count")).first()[0]  # 2500 of 6000 before
+
+
 def test_pivots(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(150, 24))
