@@ -1,6 +1,7 @@
 """Operators 4, 6, 7, 9 and 10 against brute force, and their defined results on odd input."""
 
 import hashlib
+import pathlib
 import random
 from collections import defaultdict
 
@@ -286,6 +287,18 @@ def test_shard_odd(spark, odd):
     assert sharding.shard(hot).select("shard").distinct().count() == 8
 
 
+def test_shard_writes_few_files(spark):
+    rows = [(i, "w" * (i % 40), None) for i in range(900)]
+    first = len(common._WRITTEN)
+    got = sharding.shard(docs_of(spark, rows).repartition(211))
+    assert sorted(x.doc_id for x in got.collect()) == list(range(900))
+    most = 4 * spark.sparkContext.defaultParallelism
+    assert len(common._WRITTEN) > first
+    for path in common._WRITTEN[first:]:
+        assert len(list(pathlib.Path(path.removeprefix("file:")).glob("part-*"))) <= most
+    assert got.rdd.getNumPartitions() <= most
+
+
 def test_tokens(spark, odd):
     import public_tokenizers as P
     from tokenizers import Tokenizer

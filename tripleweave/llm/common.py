@@ -57,6 +57,12 @@ def clean_up(spark: SparkSession) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def merged(df: DataFrame, a_core: int = 4) -> DataFrame:
+    """df in so many partitions a core at most, without a shuffle, for rows that cost little each: for every file that a task
+    writes, Hadoop's local file system starts chmod twice, and each time the JVM's memory counts double until that has started."""
+    return df.coalesce(a_core * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a number for each row, written down: a plan that is run twice could number rows differently."""
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")

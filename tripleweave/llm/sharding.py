@@ -21,7 +21,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, load, materialize, numbered, ranked, small
+from .common import attach, load, materialize, merged, numbered, ranked, small
 
 #: Parts into which a size class or a shard is split for numbering.
 SALTS = 256
@@ -137,12 +137,12 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
     """(doc_id, size, text_crc32, shard, slot) of every row of docs, by the number of shards or by capacity in bytes."""
     spark = docs.sparkSession
     meta = numbered(
-        docs.select("doc_id", (F.octet_length(_text()) + 1).cast("long").alias("size"), F.crc32(_text().cast("binary")).alias("text_crc32"), F.unhex(F.md5(_text().cast("binary"))).alias("key")),
+        merged(docs.select("doc_id", (F.octet_length(_text()) + 1).cast("long").alias("size"), F.crc32(_text().cast("binary")).alias("text_crc32"), F.unhex(F.md5(_text().cast("binary"))).alias("key"))),
         "row",
     )
     total = meta.count()
     groups = materialize(
-        meta.groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("whole", F.col("copies") * F.col("size")), "groups"
+        merged(meta.groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("whole", F.col("copies") * F.col("size"))), "groups"
     )
     classes = [(r[0], r[1]) for r in groups.groupBy("whole").count().collect()]  # at most sqrt(2 t) rows
     runs = plan(classes, shards) if capacity is None else pack(classes, capacity)[0]
@@ -151,9 +151,9 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None)
     placed = placed.where(F.col("rank").between(F.col("first"), F.col("last"))).select(
         "key", "size", "copies", (F.col("bin") + F.floor((F.col("rank") - F.col("first")) / F.col("each"))).cast("int").alias("shard")
     )
-    out = attach(meta, materialize(placed, "placed"), ["key", "size"], "copies", total)
+    out = attach(meta, materialize(merged(placed), "placed"), ["key", "size"], "copies", total)
     out = ranked(out, ["shard"], F.xxhash64("row"), ["doc_id", "key", "row"], "slot", 4 * SALTS)
-    return out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    return merged(out.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot")))
 
 
 def query(spark, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
