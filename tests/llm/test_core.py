@@ -114,6 +114,24 @@ def test_jaccard_blocks(spark, near, monkeypatch):
     assert got == union(links, sets)
 
 
+def test_jaccard_signatures_by_shuffle(spark, near, monkeypatch):
+    """More shared signatures than are broadcast: a bit map holds the others back before the join; all links stay."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    for bits in (15, 27):
+        monkeypatch.setattr(jaccard, "MAP_BITS", bits)
+        sets = {i: grams(t) for i, t, _ in near}
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+        got = {r.doc_id: r.component_id for r in jaccard.join(docs_of(spark, near)).collect()}
+        assert got == union(links, sets)
+    r = random.Random(5)
+    keys = [r.randrange(-(2**63), 2**63) for _ in range(4000)]
+    found = spark.createDataFrame([(i, 5, keys[10 * i : 10 * i + 10]) for i in range(400)] + [(400, 5, None), (401, 5, [])], "node long, n_shingles long, signatures array<long>")
+    many = spark.createDataFrame([(x,) for x in keys[::50]], "sig long")
+    left = [(x.node, x.sig) for x in jaccard._held_back(found, many).collect()]
+    assert {(50 * i // 10, x) for i, x in enumerate(keys[::50])} <= set(left) <= {(i // 10, x) for i, x in enumerate(keys)}
+    assert len(left) < 100
+
+
 @pytest.mark.parametrize("common_from", [None, 0])
 def test_jaccard_join_sampled(spark, monkeypatch, common_from):
     """Copies by deletions and insertions of 58 to 70 shingles: the first look holds some whole and samples the others."""

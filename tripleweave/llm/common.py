@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,22 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
+def bit_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2^bits bits (2^15 at least), of which those that the leading bits of a long column's values name are set."""
+    out = np.zeros(max(1 << bits, 1 << 15) // 8, np.uint8)
+    at = F.shiftrightunsigned(column, 64 - bits) + 1  # bitmap buckets count from 1
+    found = keys.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    for r in found.toLocalIterator():
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def in_map(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether the bit of each key (unsigned) is set: false only for keys that bit_map() hasn't met."""
+    bit = keys >> np.uint64(64 - bits)
+    return ((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def release() -> None:
     """Give memory that this process no longer uses back to the machine: Python workers live on after a task, and what their
     allocators keep adds up with the next task's memory. Elsewhere than on glibc only Arrow's share is given back."""

@@ -31,15 +31,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, load, map_batches, materialize, numbered, release, small, texts
+from .common import bit_map, components, in_map, load, map_batches, materialize, numbered, release, small, texts
 from .vectors import U, fold_case, mix, shingles, word_hashes
 
 #: Hash cells of the table of counts, its slices, the bytes of sets in one block, and the prints a task keeps in mind.
 CELL_BITS, SLICES, BLOCK_BYTES, KEPT = 24, 256, 16 << 20, 100_000
+#: Bits of the map of shared signatures that holds the others back from a join by shuffle.
+MAP_BITS = 27
 
 
 def _band_width(percent: int) -> float:
@@ -180,13 +183,36 @@ def scan(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame
     return map_batches(docs.select("doc_id", "text"), start, new, ["doc_id"])
 
 
+def _held_back(found: DataFrame, many: DataFrame) -> DataFrame:
+    """(node, n_shingles, sig) of found without signatures whose bit in a map of those in many isn't set: what is left
+    holds all of many, and of the others the share of the map that is set."""
+    bits = MAP_BITS
+    table = found.sparkSession.sparkContext.broadcast(bit_map(many, "sig", bits))
+
+    def start():
+        bitmap = table.value
+
+        def work(batch: pa.RecordBatch) -> dict:
+            lists = batch.column(batch.schema.get_field_index("signatures"))
+            sigs, sizes = lists.flatten().to_numpy(zero_copy_only=False), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            good = in_map(bitmap, sigs.view(np.uint64), bits)
+            rows = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))
+            return {"__rows": rows[good], "sig": sigs[good]}
+
+        return work
+
+    return map_batches(found.select("node", "n_shingles", "signatures").where("size(signatures) > 0"), start, [T.StructField("sig", T.LongType())], ["node", "n_shingles"])
+
+
 def _lists(found: DataFrame, percent: int) -> DataFrame:
     """(list, node, hub, center, many), each once: the classes of each signature that several share, of one size band and the
     one below; the list's smallest set as a number and as a class, and how many they are. Hubs that fall on one number by
     chance only meet each other too."""
     sig = found.select(F.explode("signatures").alias("sig"), "node", "n_shingles")
     many = sig.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least != last").select("sig")
-    sig = materialize(sig.join(small(materialize(many, "signatures")), "sig"), "shared")
+    many = materialize(many, "signatures")
+    few = small(many)
+    sig = materialize((sig if few is not many else _held_back(found, many)).join(few, "sig").select("sig", "node", "n_shingles"), "shared")
     key = F.shiftleft(F.least("n_shingles", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1)))
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / _band_width(percent) + 1e-9).cast("int")
     each = sig.select("sig", "node", key.alias("key"), band.alias("own")).withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
