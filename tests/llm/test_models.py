@@ -151,6 +151,22 @@ def test_quality_learns_from_all_trusted_documents(spark):
     assert 2700 < judged.groupBy(F.round("perplexity", 6)).count().agg(F.min("count")).first()[0]  # 2500 of 6000 before
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_quality_by_slices(spark, slices, monkeypatch):
+    """Perplexities by slices are the plain model's, with pieces of any length; repeated texts and null texts too."""
+    monkeypatch.setattr(quality, "PIECE", 40)
+    r = random.Random(9)
+    rows = [(i, prose(r, r.choice([0, 1, 2, 30]))) for i in range(80)] + [(90, None), (91, "all of it unheard"), (92, "one"), (92, "one")]
+    docs = docs_of(spark, rows)
+    learns = F.col("doc_id") % 2 + F.floor(F.col("doc_id") / 80) == 0
+    model = quality.Model([tuple(np.array(c, np.int64) for c in d.toArrow().columns) for d in quality.counts(docs.where(learns))])
+    want = dict(zip([i for i, _ in rows], model.many([quality.word_hashes(quality.fold_case(t or "")) for _, t in rows])))
+    got = quality.rated(docs.withColumn("learns", learns), ["doc_id"], slices).collect()
+    assert len(got) == len(rows)
+    assert {x.doc_id: x.perplexity for x in got} == {i: None if p is None else pytest.approx(p, rel=1e-9) for i, p in want.items()}
+    assert quality.rated(docs.withColumn("learns", F.lit(False)), ["doc_id"], slices) is None
+
+
 def test_pivots(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(150, 24))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -98,6 +99,13 @@ def in_map(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     return ((bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to
+    collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release() -> None:
     """Give memory that this process no longer uses back to the machine: Python workers live on after a task, and what their
     allocators keep adds up with the next task's memory. Elsewhere than on glibc only Arrow's share is given back."""

@@ -22,18 +22,24 @@ no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import load, map_batches, materialize, small, texts
+from .common import WORD, free_shuffles, load, map_batches, materialize, release, small, texts
 from .vectors import U, fold_case, mix, word_hashes
 
 SHARDS, QUANTILE, SLACK = 16, 0.98, 1.15
 #: Keys that are sent to the tasks with their values; bits of the map of the other keys.
 HOT, BITS = 1 << 20, 29
+#: Words of a piece of texts, whose trigrams are packed together.
+PIECE = 1 << 21
+#: Turns in which all documents' trigrams are shuffled: each holds that part of them on disk.
+TURNS = 4
 _START = U(0x5851F42D4C957F2D)
 
 
@@ -261,16 +267,219 @@ def perplexity(docs: DataFrame, table: DataFrame, unknown: float, keep: list[str
     return rows.select(*keep, "n_words", F.when(F.col("n_words") > 0, F.exp(-total / F.col("n_words"))).alias("perplexity"))
 
 
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of small whole numbers, byte after byte of all of them, compressed."""
+    return zlib.compress(np.concatenate([np.ascontiguousarray(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel() for c in columns]).tobytes(), 1)
+
+
+def _unpack(raw: bytes, columns: int) -> list[np.ndarray]:
+    a = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(columns, 4, -1)
+    return [np.ascontiguousarray(c.T).view(np.uint32).ravel().astype(np.int64) for c in a]
+
+
+def _slices(docs: DataFrame, slices: int, keyed: bool, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(slice, names, body, ids, learns) of docs (text, learns; with keyed also key): the trigrams of all texts by a hash of their
+    middle word, with numbers for the words of a piece and for its texts. Only slices whose remainder by turns is turn."""
+
+    def packed(words, held):
+        sizes = np.array([len(a) for a in words])
+        whole = np.concatenate(words)
+        part = ((whole >> U(20)) % U(slices)).astype(np.uint16 if slices < 1 << 16 else np.uint32)
+        mine = part % turns == turn
+        mine[np.cumsum(sizes) - 1] = mine[np.cumsum(sizes) - sizes] = False  # a text's ends are no middle words
+        at = np.flatnonzero(mine)
+        u, v, w, part, doc = whole[at - 1], whole[at], whole[at + 1], part[at], np.repeat(np.arange(len(words), dtype=np.uint32), sizes)[at]
+        del whole, mine
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(slices + 1))
+        rows = {"slice": [], "names": [], "body": [], "ids": [], "learns": []}
+        for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])):
+            if a == z:
+                continue
+            at = order[a:z]
+            names, idx, many = np.unique(np.concatenate([u[at], v[at], w[at]]), return_inverse=True, return_counts=True)
+            often = np.argsort(-many, kind="stable")  # frequent words get small numbers
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
+            idx = place[idx].reshape(3, -1)
+            own, no = np.unique(doc[at], return_inverse=True)
+            if not keyed:
+                own, no = own[:0], no[:0]
+            rows["slice"].append(i)
+            rows["names"].append(names[often].tobytes())
+            rows["body"].append(_pack(*idx, *([np.diff(no, prepend=0)] if keyed else [])))
+            rows["ids"].append(b"".join(held[0][d].to_bytes(8, "little", signed=True) for d in own))
+            rows["learns"].append(bytes(held[1][d] for d in own))
+        return pa.RecordBatch.from_pydict(rows, pa.schema([("slice", pa.int32()), ("names", pa.binary()), ("body", pa.binary()), ("ids", pa.binary()), ("learns", pa.binary())]))
+
+    def run(batches):
+        words, held, size = [], ([], []), 0
+        for batch in batches:
+            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "text"}
+            for i, t in enumerate(texts(batch)):
+                found = word_hashes(fold_case(t))
+                if len(found):
+                    words.append(np.concatenate([np.full(2, _START), found]))
+                    held[0].append(column["key"][i] if keyed else 0)
+                    held[1].append(column["learns"][i])
+                    size += len(found)
+                if size > PIECE * min(turns, 2):
+                    yield packed(words, held)
+                    words, held, size = [], ([], []), 0
+        if words:
+            yield packed(words, held)
+        del words
+        release()
+
+    return docs.mapInArrow(run, "slice int, names binary, body binary, ids binary, learns binary")
+
+
+def _slice(pdf, keyed: bool):
+    """Of a slice's pieces: the words' hashes, sorted; trigrams as numbers of those (u, v, w); and, keyed, the number of each
+    trigram's text, the texts' keys and whether they are learnt from."""
+    names = [np.frombuffer(x, np.uint64) for x in pdf["names"]]
+    all_names = np.unique(np.concatenate(names))
+    parts, texts_ = [], 0
+    for own, body, ids in zip(names, pdf["body"], pdf["ids"]):
+        columns = _unpack(body, 4 if keyed else 3)
+        place = np.searchsorted(all_names, own)
+        out = [place[c] for c in columns[:3]]
+        if keyed:
+            out.append(np.cumsum(columns[3].astype(np.int32)).astype(np.int64) + texts_)
+            texts_ += len(ids) // 8
+        parts.append(out)
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    return all_names, columns, np.frombuffer(b"".join(pdf["ids"]), np.int64), np.frombuffer(b"".join(pdf["learns"]), np.uint8).astype(bool)
+
+
+class _Slice:
+    """Counts of a slice's learnt trigrams (u, v, w): all that share a middle word are in one slice, and so are the pairs that
+    end with it and those that begin with it."""
+
+    def __init__(self, names, u, v, w) -> None:
+        self.size = size = len(names)
+        self.pairs, at = np.unique(v * size + w, return_inverse=True)
+        self.tri, self.c3 = np.unique(at * size + u, return_counts=True)
+        pair = self.tri // size
+        first = names[self.pairs // size] == _START  # nothing stands before a text's beginning: occurrences count
+        self.c2 = np.where(first, np.bincount(pair, self.c3, len(self.pairs)), np.bincount(pair, minlength=len(self.pairs))).astype(np.int64)
+        self.before, self.of = np.unique(self.tri % size * size + self.pairs[pair] // size, return_inverse=True)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def learn(trusted: DataFrame, slices: int) -> tuple | None:
+    """(words' hashes, sorted; their p1; the unknown word's p1; discounts of orders 2 and 3); None without any word."""
+    parts = _slices(trusted.select("text", F.lit(True).alias("learns")), slices, False)
+
+    def count(pdf):
+        import pandas as pd
+
+        names, (u, v, w), _, _ = _slice(pdf, False)
+        s = _Slice(names, u, v, w)
+        word, n = np.unique(s.pairs % s.size, return_counts=True)
+        name = names[word]
+        part = (name >> U(58)).astype(np.int64)  # names are sorted
+        ends = np.searchsorted(part, np.arange(65))
+        of = [np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes() for c in (s.c2, s.c3)]
+        rows = [(-1, of[0], of[1])] + [(i, name[a:z].tobytes(), n[a:z].astype(np.int64).tobytes()) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
+        return pd.DataFrame(rows, columns=["part", "a", "b"])
+
+    def add(key, pdf):
+        import pandas as pd
+
+        a, b = [np.frombuffer(x, np.uint64) for x in pdf["a"]], [np.frombuffer(x, np.int64) for x in pdf["b"]]
+        if key[0] < 0:
+            out = [sum(x.view(np.int64) for x in a), sum(b)]
+        else:
+            name, at = np.unique(np.concatenate(a), return_inverse=True)
+            out = [name, np.bincount(at, np.concatenate(b)).astype(np.int64)]
+        return pd.DataFrame({"part": [key[0]], "a": [out[0].tobytes()], "b": [out[1].tobytes()]})
+
+    kind = "part int, a binary, b binary"
+    found = {r["part"]: (r["a"], r["b"]) for r in parts.groupBy("slice").applyInPandas(count, kind).groupBy("part").applyInPandas(add, kind).collect()}
+    if -1 not in found:
+        return None
+    d2, d3 = (discounts(dict(enumerate(np.frombuffer(x, np.int64).tolist()))) for x in found.pop(-1))
+    names = np.concatenate([np.frombuffer(found[k][0], np.uint64) for k in sorted(found)])
+    c = np.concatenate([np.frombuffer(found[k][1], np.int64) for k in sorted(found)])
+    off = discounts(dict(enumerate(np.bincount(np.minimum(c, 5), minlength=6).tolist())))[np.minimum(c, 3) - 1]
+    share = off.sum() / (len(c) + 1)
+    return names, (c - off + share) / c.sum(), float(share / c.sum()), d2, d3
+
+
+def score(docs: DataFrame, model: tuple, slices: int, turns: int = TURNS) -> DataFrame:
+    """(key, total, words) of docs (text, learns, key): the logarithm of the probability of the texts of a key, and their words.
+    Slices take turns: the texts are read once a turn, and the shuffle files of one are deleted before the next."""
+    table = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rate(pdf):
+        import pandas as pd
+
+        known, p1, unknown, d2, d3 = table.value
+        names, (u, v, w, text), ids, learns = _slice(pdf, True)
+        own = learns[text]
+        s = _Slice(names, u[own], v[own], w[own])
+        at, hit = _find(known, names)
+        p = np.where(hit, p1[at], unknown)[w]
+        off = d2[np.minimum(s.c2, 3) - 1]
+        total, left = (np.bincount(s.pairs // s.size, x, s.size) for x in (s.c2, off))
+        pair, hit = _find(s.pairs, v * s.size + w)
+        if len(s.pairs):
+            mass = total[v]
+            p = np.where(mass > 0, (np.where(hit, (s.c2 - off)[pair], 0) + left[v] * p) / np.where(mass > 0, mass, 1), p)
+            off = d3[np.minimum(s.c3, 3) - 1]
+            total, left = (np.bincount(s.of, x, len(s.before)) for x in (s.c3, off))
+            tri, there = _find(s.tri, pair * s.size + u)
+            at, seen = _find(s.before, u * s.size + v)
+            p = np.where(seen, (np.where(there & hit, (s.c3 - off)[tri], 0) + left[at] * p) / total[at], p)
+        key, at = np.unique(ids, return_inverse=True)
+        out = pd.DataFrame({"key": key, "total": np.bincount(at[text], np.log(p), len(key)), "words": np.bincount(at[text], minlength=len(key))})
+        release()
+        return out
+
+    totals = None
+    for turn in range(min(turns, slices)):
+        parts = _slices(docs.select("text", "learns", "key"), slices, True, turn, min(turns, slices))
+        found = parts.groupBy("slice").applyInPandas(rate, "key long, total double, words long")
+        found = materialize(found.groupBy("key").agg(F.sum("total").alias("total"), F.sum("words").alias("words")), "totals")
+        totals = found if totals is None else totals.unionByName(found)
+        del parts, found
+        free_shuffles(docs.sparkSession)
+    return totals.groupBy("key").agg(F.sum("total").alias("total"), F.sum("words").alias("words"))
+
+
+def rated(docs: DataFrame, keep: list[str], slices: int | None = None) -> DataFrame | None:
+    """Columns `keep` of docs (with text and learns), n_words and perplexity (null without words), by a model of the texts that
+    learns marks; None if they have no word. Equal texts have one key."""
+    slices = slices or max(6, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 3 // 4)
+    model = learn(docs.where("learns").select("text"), slices)
+    free_shuffles(docs.sparkSession)
+    if model is None:
+        return None
+    key = F.xxhash64("text").alias("key")
+    totals = materialize(score(docs.select("text", "learns", key), model, slices), "totals")
+    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(*keep, n.alias("n_words"), key).join(small(totals), "key", "left")
+    return rows.select(*keep, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("total") / F.col("words"))).alias("perplexity"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) of every row of docs."""
     trusted_ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "trusted")
     learns = F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(2)) == 0
-    model = values(docs.select("doc_id", "text").join(small(trusted_ids.where(learns)), F.col("doc_id") == F.col("__id"), "left_semi"))
-    if model is None:
+    marked = docs.select("doc_id", "lang", "text").join(small(trusted_ids.where(learns).withColumn("__learns", F.lit(True))), F.col("doc_id") == F.col("__id"), "left")
+    rows = rated(marked.select("doc_id", "lang", "text", F.coalesce("__learns", F.lit(False)).alias("learns")), ["doc_id", "lang"])
+    if rows is None:
         n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
         none = F.lit(None).cast("double")
         return docs.select("doc_id", "lang", n.alias("n_words"), none.alias("perplexity"), none.alias("threshold"), (n > 0).alias("kept"))
-    rows = materialize(perplexity(docs.select("doc_id", "lang", "text"), *model, ["doc_id", "lang"]), "judged")
+    rows = materialize(rows, "judged")
     judged = small(trusted_ids.where(~learns))
     known = rows.where("perplexity is not null").join(judged, F.col("doc_id") == F.col("__id"), "left_semi")
     at = F.percentile_approx("perplexity", quantile, 10_000) * slack
