@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -102,8 +103,10 @@ def in_map(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 def free_shuffles(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver happens to
     collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of is deleted behind the scenes, and may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def release() -> None:

@@ -5,10 +5,9 @@ falls into the lower half; the others set the thresholds. Spark counts the trigr
 counts of lower orders; the three discounts of an order come from its counts of counts. The lowest order is
 interpolated with a uniform share for unknown words.
 
-The logarithm of a text's probability is a sum over its n-grams and contexts that the model knows (`values`): a word's
-log p1, a context's logarithm of left-over mass, and for a known n-gram what its order adds to that. So documents meet the
-tables by one join. The `HOT` most frequent keys go to the tasks; keys whose bit in a map of 2^`BITS` bits is not set are
-unknown and add nothing; the others are joined by a shuffle with the table, whose size nothing bounds.
+The query scores by slices (`rated`): trigrams of all texts are packed and dealt by a hash of their middle word, so that a slice
+has every count that its trigrams need but the words' p1, which go to all tasks (12 bytes or so a distinct learnt word, in the driver too). `TURNS`
+turns of slices follow each other, to hold less on disk. `values` and `perplexity` are a plainer form by joins of rows.
 
 A document is kept if its perplexity is at most the `QUANTILE` of the trusted documents' in its language, times `SLACK`.
 Perplexities are of whole texts, without an end mark; quantiles are over all trusted documents that the model didn't learn
@@ -39,7 +38,9 @@ HOT, BITS = 1 << 20, 29
 #: Words of a piece of texts, whose trigrams are packed together.
 PIECE = 1 << 21
 #: Turns in which all documents' trigrams are shuffled: each holds that part of them on disk.
-TURNS = 4
+TURNS = 5
+#: Parts of the texts' keys in which their sums over slices are added up.
+LOTS = 128
 _START = U(0x5851F42D4C957F2D)
 
 
@@ -323,7 +324,7 @@ def _slices(docs: DataFrame, slices: int, keyed: bool, turn: int = 0, turns: int
                     held[0].append(column["key"][i] if keyed else 0)
                     held[1].append(column["learns"][i])
                     size += len(found)
-                if size > PIECE * min(turns, 2):
+                if size > PIECE:
                     yield packed(words, held)
                     words, held, size = [], ([], []), 0
         if words:
@@ -387,6 +388,7 @@ def learn(trusted: DataFrame, slices: int) -> tuple | None:
         part = (name >> U(58)).astype(np.int64)  # names are sorted
         ends = np.searchsorted(part, np.arange(65))
         of = [np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes() for c in (s.c2, s.c3)]
+        release()
         rows = [(-1, of[0], of[1])] + [(i, name[a:z].tobytes(), n[a:z].astype(np.int64).tobytes()) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
         return pd.DataFrame(rows, columns=["part", "a", "b"])
 
@@ -421,6 +423,8 @@ def score(docs: DataFrame, model: tuple, slices: int, turns: int = TURNS) -> Dat
     def rate(pdf):
         import pandas as pd
 
+        release()
+
         known, p1, unknown, d2, d3 = table.value
         names, (u, v, w, text), ids, learns = _slice(pdf, True)
         own = learns[text]
@@ -429,6 +433,7 @@ def score(docs: DataFrame, model: tuple, slices: int, turns: int = TURNS) -> Dat
         p = np.where(hit, p1[at], unknown)[w]
         off = d2[np.minimum(s.c2, 3) - 1]
         total, left = (np.bincount(s.pairs // s.size, x, s.size) for x in (s.c2, off))
+        del own, at, names
         pair, hit = _find(s.pairs, v * s.size + w)
         if len(s.pairs):
             mass = total[v]
@@ -436,18 +441,29 @@ def score(docs: DataFrame, model: tuple, slices: int, turns: int = TURNS) -> Dat
             off = d3[np.minimum(s.c3, 3) - 1]
             total, left = (np.bincount(s.of, x, len(s.before)) for x in (s.c3, off))
             tri, there = _find(s.tri, pair * s.size + u)
+            del pair
             at, seen = _find(s.before, u * s.size + v)
             p = np.where(seen, (np.where(there & hit, (s.c3 - off)[tri], 0) + left[at] * p) / total[at], p)
-        key, at = np.unique(ids, return_inverse=True)
-        out = pd.DataFrame({"key": key, "total": np.bincount(at[text], np.log(p), len(key)), "words": np.bincount(at[text], minlength=len(key))})
+        del u, v, w, s
+        key, at = np.unique(ids.view(np.uint64), return_inverse=True)
+        total, words = np.bincount(at[text], np.log(p), len(key)), np.bincount(at[text], minlength=len(key))
+        ends = np.searchsorted(key >> U(32), (np.arange(LOTS + 1) << 32) // LOTS)  # keys are sorted
+        rows = [(i, key[a:z].tobytes(), total[a:z].tobytes(), words[a:z].astype(np.uint32).tobytes()) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
         release()
-        return out
+        return pd.DataFrame(rows, columns=["lot", "key", "total", "words"])
+
+    def add(pdf):
+        import pandas as pd
+
+        key, total, words = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("key", np.int64), ("total", np.float64), ("words", np.uint32)))
+        key, at = np.unique(key, return_inverse=True)
+        return pd.DataFrame({"key": key, "total": np.bincount(at, total), "words": np.bincount(at, words).astype(np.int64)})
 
     totals = None
     for turn in range(min(turns, slices)):
         parts = _slices(docs.select("text", "learns", "key"), slices, True, turn, min(turns, slices))
-        found = parts.groupBy("slice").applyInPandas(rate, "key long, total double, words long")
-        found = materialize(found.groupBy("key").agg(F.sum("total").alias("total"), F.sum("words").alias("words")), "totals")
+        found = parts.groupBy("slice").applyInPandas(rate, "lot int, key binary, total binary, words binary")
+        found = materialize(found.groupBy("lot").applyInPandas(add, "key long, total double, words long"), "totals")
         totals = found if totals is None else totals.unionByName(found)
         del parts, found
         free_shuffles(docs.sparkSession)
@@ -457,7 +473,7 @@ def score(docs: DataFrame, model: tuple, slices: int, turns: int = TURNS) -> Dat
 def rated(docs: DataFrame, keep: list[str], slices: int | None = None) -> DataFrame | None:
     """Columns `keep` of docs (with text and learns), n_words and perplexity (null without words), by a model of the texts that
     learns marks; None if they have no word. Equal texts have one key."""
-    slices = slices or max(6, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 3 // 4)
+    slices = slices or max(6, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
     model = learn(docs.where("learns").select("text"), slices)
     free_shuffles(docs.sparkSession)
     if model is None:
