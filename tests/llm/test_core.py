@@ -3,6 +3,7 @@
 import hashlib
 import pathlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -373,3 +374,21 @@ def test_decontam(spark, odd):
     assert decontam.clean(odd, bench.limit(30)).collect() == odd.collect()
     assert decontam.matches(odd, bench.limit(0)).count() == 0
     assert np.array_equal(decontam.grams(b"abcdefghij"), [int.from_bytes(b"abcdefghij"[i : i + 8], "little") for i in range(3)])
+
+
+def test_shuffles_deleted(spark):
+    """Files of a query's shuffles go when it ends, and only within."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_") and n.endswith(".data")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name, None), files()
+    with common.shuffles_deleted(spark):
+        rows = common.materialize(spark.range(1000).repartition(3, "id"), "t")
+    for _ in range(40):
+        if not (left := files() - before):
+            break
+        time.sleep(0.25)
+    assert not left and rows.count() == 1000 and spark.conf.get(name, None) == setting

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -167,6 +168,52 @@ def test_quality_by_slices(spark, slices, monkeypatch):
     assert quality.rated(docs.withColumn("learns", F.lit(False)), ["doc_id"], slices) is None
 
 
+def stages_of(spark):
+    """Bytes of shuffle that each stage wrote, by the stage's number."""
+    gateway = spark.sparkContext._gateway
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+
+def test_quality_shuffles_no_more_with_more_slices(spark):
+    """What is shuffled follows the words, not the slices, whose number follows the input."""
+    r = random.Random(10)
+    docs = docs_of(spark, [(i, " ".join(f"w{r.randrange(20000)}" for _ in range(300))) for i in range(300)])
+    docs = docs.withColumn("learns", F.col("doc_id") % 2 == 0).repartition(1).localCheckpoint()
+    before = max(stages_of(spark), default=-1)
+    assert len(quality.rated(docs, ["doc_id"], 100).collect()) == 300
+    time.sleep(1)
+    written = sum(n for k, n in stages_of(spark).items() if k > before)
+    assert 3 * 90_000 < written < 20 * 90_000  # 90,000 words
+
+
+def test_quality_of_equal_pieces(spark):
+    """Pieces that hold the same texts, also with other marks, and texts that stand in several pieces."""
+    r = random.Random(11)
+    rows = [(i, prose(r, r.choice([1, 2, 30]))) for i in range(40)]
+    docs = docs_of(spark, rows).coalesce(1)
+    docs = docs.withColumn("learns", F.col("doc_id") % 2 == 0)
+    all_docs = docs.unionByName(docs).unionByName(docs.withColumn("learns", ~F.col("learns")))
+    model = quality.Model([tuple(np.array(c, np.int64) for c in d.toArrow().columns) for d in quality.counts(all_docs.where("learns"))])
+    want = dict(zip([i for i, _ in rows], model.many([quality.word_hashes(quality.fold_case(t)) for _, t in rows])))
+    got = quality.rated(all_docs, ["doc_id"], 5).collect()
+    assert len(got) == 120 and all(x.perplexity == pytest.approx(want[x.doc_id], rel=1e-9) for x in got)
+
+
+def test_quality_words_and_columns():
+    r = np.random.default_rng(12)
+    names = np.unique(np.concatenate([r.integers(0, 2**64, 5000, dtype=np.uint64), np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(40, dtype=np.uint64)]))
+    many = r.integers(1, 9, len(names))
+    w = quality._Words(names, many)
+    number = w.look(names)
+    assert sorted(number) == list(range(2, len(names) + 2)) and (np.diff(many[np.argsort(number)]) <= 0).all()
+    assert w.look(np.array([quality._START, 41], np.uint64)).tolist() == [1, 0]
+    assert not w.look(np.setdiff1d(r.integers(0, 2**64, 5000, dtype=np.uint64), names)).any()
+    for n in (1, 7, quality.LONG - 1, quality.LONG, 9000):
+        columns = [r.integers(0, k, n) for k in (1, 300, 2**31)]
+        assert all((a == b).all() for a, b in zip(columns, quality._unpack(quality._pack(*columns), 3, n)))
+
+
 def test_pivots(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(150, 24))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import tempfile
@@ -109,6 +110,19 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark (4.1 on; others ignore the setting) deletes a query's shuffle files as soon as it has ended, on all executors.
+    Only for DataFrames that run once, as by materialize()."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give memory that this process no longer uses back to the machine: Python workers live on after a task, and what their
     allocators keep adds up with the next task's memory. Elsewhere than on glibc only Arrow's share is given back."""

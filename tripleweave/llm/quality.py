@@ -5,9 +5,10 @@ falls into the lower half; the others set the thresholds. Spark counts the trigr
 counts of lower orders; the three discounts of an order come from its counts of counts. The lowest order is
 interpolated with a uniform share for unknown words.
 
-The query scores by slices (`rated`): trigrams of all texts are packed and dealt by a hash of their middle word, so that a slice
-has every count that its trigrams need but the words' p1, which go to all tasks (12 bytes or so a distinct learnt word, in the driver too). `TURNS`
-turns of slices follow each other, to hold less on disk. `values` and `perplexity` are a plainer form by joins of rows.
+The query scores by slices (`rated`): learnt words are numbered, and trigrams of all texts, packed as such numbers, are dealt by a hash
+of their middle word, so that a slice has every count that its trigrams need but the words' p1, for which counts go to all tasks
+(`words` and `learn`: 16 bytes a distinct learnt word, in the driver too). `TURNS` turns of slices follow each other, to hold less on disk.
+`values` and `perplexity` are a plainer form by joins of rows.
 
 A document is kept if its perplexity is at most the `QUANTILE` of the trusted documents' in its language, times `SLACK`.
 Perplexities are of whole texts, without an end mark; quantiles are over all trusted documents that the model didn't learn
@@ -21,7 +22,7 @@ no rows.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, free_shuffles, load, map_batches, materialize, release, small, texts
+from .common import WORD, free_shuffles, load, map_batches, materialize, release, shuffles_deleted, small, texts
 from .vectors import U, fold_case, mix, word_hashes
 
 SHARDS, QUANTILE, SLACK = 16, 0.98, 1.15
@@ -37,10 +38,10 @@ SHARDS, QUANTILE, SLACK = 16, 0.98, 1.15
 HOT, BITS = 1 << 20, 29
 #: Words of a piece of texts, whose trigrams are packed together.
 PIECE = 1 << 21
+#: Columns of so many numbers are compressed byte by byte.
+LONG = 4096
 #: Turns in which all documents' trigrams are shuffled: each holds that part of them on disk.
-TURNS = 5
-#: Parts of the texts' keys in which their sums over slices are added up.
-LOTS = 128
+TURNS = 4
 _START = U(0x5851F42D4C957F2D)
 
 
@@ -269,102 +270,159 @@ def perplexity(docs: DataFrame, table: DataFrame, unknown: float, keep: list[str
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of small whole numbers, byte after byte of all of them, compressed."""
-    return zlib.compress(np.concatenate([np.ascontiguousarray(c.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel() for c in columns]).tobytes(), 1)
-
-
-def _unpack(raw: bytes, columns: int) -> list[np.ndarray]:
-    a = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(columns, 4, -1)
-    return [np.ascontiguousarray(c.T).view(np.uint32).ravel().astype(np.int64) for c in a]
-
+    """Columns of small whole numbers, compressed by bytes of like weight: each for itself if the columns are long."""
+    planes = np.concatenate([np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T for c in columns])
+    planes = planes if planes.shape[1] >= LONG else planes.reshape(1, -1)
+    out = [pa.compress(p.tobytes(), "zstd", asbytes=True) if p.any() else b"" for p in planes]
+    return np.array([len(x) for x in out], "<u4").tobytes() + b"".join(out)
+
+
+def _unpack(raw: bytes, columns: int, n: int) -> list[np.ndarray]:
+    many, size = (4 * columns, n) if n >= LONG else (1, 4 * columns * n)
+    at = np.cumsum(np.concatenate([[4 * many], np.frombuffer(raw, "<u4", many)]))
+    planes = np.zeros((many, size), np.uint8)
+    for p, a, z in zip(planes, at[:-1], at[1:]):
+        if z > a:
+            p[:] = np.frombuffer(pa.decompress(raw[a:z], size, "zstd"), np.uint8)
+    return [np.ascontiguousarray(c.T).view("<i4").ravel() for c in planes.reshape(columns, 4, n)]
+
+
+class _Words:
+    """Numbers of the learnt words: 0 is any other word, 1 a text's beginning, then the words by their occurrences."""
+
+    def __init__(self, names: np.ndarray, many: np.ndarray) -> None:
+        """names: hashes; many: their occurrences."""
+        number = np.empty(len(names) + 1, np.uint32)
+        number[np.argsort(-many, kind="stable")] = np.arange(2, len(names) + 2)
+        number[-1] = 1
+        names = np.concatenate([names, [_START]])
+        order = np.argsort(names)
+        self.names, self.numbers, self.starts = names[order], number[order], None
+
+    def look(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of hashes. As those are spread evenly, a word stands a few places at most after the first with its leading bits."""
+        bits = max(1, len(self.names).bit_length())
+        shift = U(64 - bits)
+        if self.starts is None:
+            self.starts = np.searchsorted(self.names, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.uint32)
+        out = np.zeros(len(words), np.uint32)
+        rest, at = np.arange(len(words), dtype=np.uint32), self.starts[words >> shift]
+        while len(rest):
+            inside = at < len(self.names)
+            rest, at, words = rest[inside], at[inside], words[inside]
+            found = self.names[at]
+            hit = found == words
+            out[rest[hit]] = self.numbers[at[hit]]
+            on = found < words
+            rest, at, words = rest[on], at[on] + np.uint32(1), words[on]
+        return out
 
-def _slices(docs: DataFrame, slices: int, keyed: bool, turn: int = 0, turns: int = 1) -> DataFrame:
-    """(slice, names, body, ids, learns) of docs (text, learns; with keyed also key): the trigrams of all texts by a hash of their
-    middle word, with numbers for the words of a piece and for its texts. Only slices whose remainder by turns is turn."""
 
-    def packed(words, held):
-        sizes = np.array([len(a) for a in words])
-        whole = np.concatenate(words)
+def _pieces(batches, work, keyed: bool = False):
+    """work(texts' word hashes, their keys, whether they are learnt from) for pieces of some PIECE words; texts without words are left out."""
+    found, keys, learns, size = [], [], [], 0
+    for batch in batches:
+        column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "text"}
+        for i, t in enumerate(texts(batch)):
+            words = word_hashes(fold_case(t))
+            if len(words):
+                found.append(words)
+                keys.append(column["key"][i] if keyed else 0)
+                learns.append(column["learns"][i] if keyed else True)
+                size += len(words)
+            if size > PIECE:
+                yield work(found, keys, learns)
+                found, keys, learns, size = [], [], [], 0
+    if found:
+        yield work(found, keys, learns)
+    del found
+    release()
+
+
+def _slices(docs: DataFrame, vocabulary, slices: int, keyed: bool, turn: int = 0, turns: int = 1) -> DataFrame:
+    """(slice, piece, n, heads, body, learnt, ids) of docs (text; with keyed also key and learns): n trigrams of a piece's texts whose
+    middle word's hash falls to a slice, as numbers of the broadcast vocabulary and, keyed, of the text in the piece, of which the first
+    `learnt` are learnt from. ids, in one row a piece: the texts' keys and their words of this turn. Only slices whose remainder by turns is turn."""
+
+    def packed(found, keys, learns):
+        first = np.argsort(~np.array(learns), kind="stable")
+        found, keys = [found[i] for i in first], np.array(keys, np.int64)[first]
+        sizes = np.array([len(a) for a in found]) + 2
+        ends = np.cumsum(sizes)
+        whole = np.full(ends[-1], _START)
+        inner = np.ones(len(whole), bool)
+        inner[ends - sizes] = inner[ends - sizes + 1] = False
+        whole[inner] = np.concatenate(found)
         part = ((whole >> U(20)) % U(slices)).astype(np.uint16 if slices < 1 << 16 else np.uint32)
         mine = part % turns == turn
-        mine[np.cumsum(sizes) - 1] = mine[np.cumsum(sizes) - sizes] = False  # a text's ends are no middle words
+        mine[ends - 1] = mine[ends - sizes] = False  # a text's ends are no middle words
         at = np.flatnonzero(mine)
-        u, v, w, part, doc = whole[at - 1], whole[at], whole[at + 1], part[at], np.repeat(np.arange(len(words), dtype=np.uint32), sizes)[at]
-        del whole, mine
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(slices + 1))
-        rows = {"slice": [], "names": [], "body": [], "ids": [], "learns": []}
-        for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])):
+        mine[at - 1] = mine[at + 1] = True
+        number = np.zeros(len(whole), np.uint32)
+        number[mine] = vocabulary.value.look(whole[mine])
+        at = at[np.argsort(part[at], kind="stable")]
+        cut = np.searchsorted(part[at], np.arange(slices + 1))
+        del whole, inner, mine, part
+        u, v, w, doc = number[at - 1], number[at], number[at + 1], np.repeat(np.arange(len(found), dtype=np.uint32), sizes)[at]
+        u[v == 0] = 0  # after a word that isn't learnt, the one before doesn't matter
+        learnt = int(sum(learns))
+        name = int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8, salt=learnt.to_bytes(8, "little")).digest(), "little", signed=True)
+        ids = keys.tobytes() + np.bincount(doc, minlength=len(found)).astype(np.uint32).tobytes() if keyed else b""
+        rows = {k: [] for k in ("slice", "piece", "n", "heads", "body", "learnt", "ids")}
+        for i, (a, z) in enumerate(zip(cut[:-1], cut[1:])):
             if a == z:
                 continue
-            at = order[a:z]
-            names, idx, many = np.unique(np.concatenate([u[at], v[at], w[at]]), return_inverse=True, return_counts=True)
+            heads, idx, many = np.unique(v[a:z], return_inverse=True, return_counts=True)
             often = np.argsort(-many, kind="stable")  # frequent words get small numbers
-            place = np.empty(len(often), np.int64)
+            place = np.empty(len(often), np.uint32)
             place[often] = np.arange(len(often))
-            idx = place[idx].reshape(3, -1)
-            own, no = np.unique(doc[at], return_inverse=True)
-            if not keyed:
-                own, no = own[:0], no[:0]
-            rows["slice"].append(i)
-            rows["names"].append(names[often].tobytes())
-            rows["body"].append(_pack(*idx, *([np.diff(no, prepend=0)] if keyed else [])))
-            rows["ids"].append(b"".join(held[0][d].to_bytes(8, "little", signed=True) for d in own))
-            rows["learns"].append(bytes(held[1][d] for d in own))
-        return pa.RecordBatch.from_pydict(rows, pa.schema([("slice", pa.int32()), ("names", pa.binary()), ("body", pa.binary()), ("ids", pa.binary()), ("learns", pa.binary())]))
-
-    def run(batches):
-        words, held, size = [], ([], []), 0
-        for batch in batches:
-            column = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names) if n != "text"}
-            for i, t in enumerate(texts(batch)):
-                found = word_hashes(fold_case(t))
-                if len(found):
-                    words.append(np.concatenate([np.full(2, _START), found]))
-                    held[0].append(column["key"][i] if keyed else 0)
-                    held[1].append(column["learns"][i])
-                    size += len(found)
-                if size > PIECE:
-                    yield packed(words, held)
-                    words, held, size = [], ([], []), 0
-        if words:
-            yield packed(words, held)
-        del words
-        release()
+            text = [np.diff(doc[a:z], prepend=np.uint32(0))] if keyed else []
+            for k, x in zip(rows, (i, name, int(z - a), heads[often].tobytes(), _pack(u[a:z], place[idx], w[a:z], *text), learnt, ids)):
+                rows[k].append(x)
+            ids = b""
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_pydict(rows, pa.schema(list(zip(rows, kinds))))
 
-    return docs.mapInArrow(run, "slice int, names binary, body binary, ids binary, learns binary")
+    return docs.mapInArrow(lambda batches: _pieces(batches, packed, keyed), "slice int, piece long, n long, heads binary, body binary, learnt long, ids binary")
 
 
 def _slice(pdf, keyed: bool):
-    """Of a slice's pieces: the words' hashes, sorted; trigrams as numbers of those (u, v, w); and, keyed, the number of each
-    trigram's text, the texts' keys and whether they are learnt from."""
-    names = [np.frombuffer(x, np.uint64) for x in pdf["names"]]
-    all_names = np.unique(np.concatenate(names))
-    parts, texts_ = [], 0
-    for own, body, ids in zip(names, pdf["body"], pdf["ids"]):
-        columns = _unpack(body, 4 if keyed else 3)
-        place = np.searchsorted(all_names, own)
-        out = [place[c] for c in columns[:3]]
+    """Of a slice's pieces: the middle words' numbers, sorted; trigrams (u, v, w), v as a number of those; and, keyed, each
+    trigram's text in its piece."""
+    tables = [np.frombuffer(x, np.uint32) for x in pdf["heads"]]
+    heads = np.unique(np.concatenate(tables))
+    out = [np.empty(int(pdf["n"].sum()), np.int32) for _ in range(4 if keyed else 3)]
+    a = 0
+    for own, body, n in zip(tables, pdf["body"], pdf["n"]):
+        columns = _unpack(body, len(out), n)
+        columns[1] = np.searchsorted(heads, own).astype(np.int32)[columns[1]]
         if keyed:
-            out.append(np.cumsum(columns[3].astype(np.int32)).astype(np.int64) + texts_)
-            texts_ += len(ids) // 8
-        parts.append(out)
-    columns = [np.concatenate(x) for x in zip(*parts)]
-    return all_names, columns, np.frombuffer(b"".join(pdf["ids"]), np.int64), np.frombuffer(b"".join(pdf["learns"]), np.uint8).astype(bool)
+            columns[3] = np.cumsum(columns[3])
+        for x, c in zip(out, columns):
+            x[a : a + n] = c
+        a += n
+    return heads, out
 
 
 class _Slice:
-    """Counts of a slice's learnt trigrams (u, v, w): all that share a middle word are in one slice, and so are the pairs that
-    end with it and those that begin with it."""
+    """Counts of a slice's learnt trigrams (u, v, w), words numbered below size and middle words as in heads: all that share
+    a middle word are in one slice, and so are the pairs that end with it and those that begin with it."""
 
-    def __init__(self, names, u, v, w) -> None:
-        self.size = size = len(names)
-        self.pairs, at = np.unique(v * size + w, return_inverse=True)
+    def __init__(self, heads, size, u, v, w) -> None:
+        self.size, self.many = size, len(heads)
+        self.pairs, at = np.unique(self.pair(v, w), return_inverse=True)
         self.tri, self.c3 = np.unique(at * size + u, return_counts=True)
+        del at
         pair = self.tri // size
-        first = names[self.pairs // size] == _START  # nothing stands before a text's beginning: occurrences count
+        first = heads[self.pairs // size] == 1  # nothing stands before a text's beginning: occurrences count
         self.c2 = np.where(first, np.bincount(pair, self.c3, len(self.pairs)), np.bincount(pair, minlength=len(self.pairs))).astype(np.int64)
-        self.before, self.of = np.unique(self.tri % size * size + self.pairs[pair] // size, return_inverse=True)
+        self.before, self.of = np.unique(self.context(self.tri % size, self.pairs[pair] // size), return_inverse=True)
+
+    def pair(self, v, w):
+        return v.astype(np.int64) * self.size + w
+
+    def context(self, u, v):
+        return u.astype(np.int64) * self.many + v
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -374,96 +432,141 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def learn(trusted: DataFrame, slices: int) -> tuple | None:
-    """(words' hashes, sorted; their p1; the unknown word's p1; discounts of orders 2 and 3); None without any word."""
-    parts = _slices(trusted.select("text", F.lit(True).alias("learns")), slices, False)
+def _by_part(part: np.ndarray, name: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Rows (part, a, b) of the names and counts of each part; part is sorted."""
+    kinds, ends = np.unique(part, return_index=True)
+    return [(int(k), x.tobytes(), y.astype(np.int64).tobytes()) for k, x, y in zip(kinds, np.split(name, ends[1:]), np.split(n, ends[1:]))]
 
-    def count(pdf):
-        import pandas as pd
 
-        names, (u, v, w), _, _ = _slice(pdf, False)
-        s = _Slice(names, u, v, w)
-        word, n = np.unique(s.pairs % s.size, return_counts=True)
-        name = names[word]
-        part = (name >> U(58)).astype(np.int64)  # names are sorted
-        ends = np.searchsorted(part, np.arange(65))
-        of = [np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes() for c in (s.c2, s.c3)]
-        release()
-        rows = [(-1, of[0], of[1])] + [(i, name[a:z].tobytes(), n[a:z].astype(np.int64).tobytes()) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
-        return pd.DataFrame(rows, columns=["part", "a", "b"])
+def _added(parts: DataFrame, kind) -> dict[int, list[np.ndarray]]:
+    """By part, the distinct a (arrays of a kind) of rows (part, a, b) and the sums of their b; below 0: the sum of b."""
 
     def add(key, pdf):
         import pandas as pd
 
-        a, b = [np.frombuffer(x, np.uint64) for x in pdf["a"]], [np.frombuffer(x, np.int64) for x in pdf["b"]]
+        a, b = np.frombuffer(b"".join(pdf["a"]), kind), [np.frombuffer(x, np.int64) for x in pdf["b"]]
         if key[0] < 0:
-            out = [sum(x.view(np.int64) for x in a), sum(b)]
+            a, b = a[:0], sum(b)
         else:
-            name, at = np.unique(np.concatenate(a), return_inverse=True)
-            out = [name, np.bincount(at, np.concatenate(b)).astype(np.int64)]
-        return pd.DataFrame({"part": [key[0]], "a": [out[0].tobytes()], "b": [out[1].tobytes()]})
+            a, at = np.unique(a, return_inverse=True)
+            b = np.bincount(at, np.concatenate(b)).astype(np.int64)
+        return pd.DataFrame({"part": [key[0]], "a": [a.tobytes()], "b": [b.tobytes()]})
 
-    kind = "part int, a binary, b binary"
-    found = {r["part"]: (r["a"], r["b"]) for r in parts.groupBy("slice").applyInPandas(count, kind).groupBy("part").applyInPandas(add, kind).collect()}
-    if -1 not in found:
-        return None
-    d2, d3 = (discounts(dict(enumerate(np.frombuffer(x, np.int64).tolist()))) for x in found.pop(-1))
-    names = np.concatenate([np.frombuffer(found[k][0], np.uint64) for k in sorted(found)])
-    c = np.concatenate([np.frombuffer(found[k][1], np.int64) for k in sorted(found)])
-    off = discounts(dict(enumerate(np.bincount(np.minimum(c, 5), minlength=6).tolist())))[np.minimum(c, 3) - 1]
-    share = off.sum() / (len(c) + 1)
-    return names, (c - off + share) / c.sum(), float(share / c.sum()), d2, d3
+    found = parts.groupBy("part").applyInPandas(add, "part int, a binary, b binary").collect()
+    return {r["part"]: [np.frombuffer(r["a"], kind), np.frombuffer(r["b"], np.int64)] for r in sorted(found, key=lambda r: r["part"])}
+
+
+def words(trusted: DataFrame) -> _Words | None:
+    """The words of trusted texts, numbered; None without any word."""
 
+    def count(found, keys, learns):
+        name, n = np.unique(np.concatenate(found), return_counts=True)
+        rows = zip(*_by_part((name >> U(58)).astype(np.int64), name, n))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()))], names=["part", "a", "b"])
 
-def score(docs: DataFrame, model: tuple, slices: int, turns: int = TURNS) -> DataFrame:
+    found = _added(trusted.select("text").mapInArrow(lambda b: _pieces(b, count), "part int, a binary, b binary"), np.uint64)
+    return _Words(*(np.concatenate(x) for x in zip(*found.values()))) if found else None
+
+
+def learn(trusted: DataFrame, vocabulary, slices: int) -> tuple:
+    """(by number, how many different words stand before a word; discounts of orders 1 to 3) of texts whose words the broadcast
+    vocabulary numbers."""
+    size = len(vocabulary.value.names) + 1
+
+    def count(pdf):
+        import pandas as pd
+
+        heads, columns = _slice(pdf, False)
+        s = _Slice(heads, size, *columns)
+        word, n = np.unique(s.pairs % size, return_counts=True)
+        of = [np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes() for c in (s.c2, s.c3)]
+        rows = [(-2, b"", of[0]), (-3, b"", of[1]), *_by_part(word * 64 // size, word, n)]
+        del s, columns
+        release()
+        return pd.DataFrame(rows, columns=["part", "a", "b"])
+
+    parts = _slices(trusted.select("text"), vocabulary, slices, False)
+    found = _added(parts.groupBy("slice").applyInPandas(count, "part int, a binary, b binary"), np.int64)
+    of = {2: found.pop(-2)[1], 3: found.pop(-3)[1]}
+    c = np.zeros(size, np.uint32)
+    for number, n in found.values():
+        c[number] = n
+    of[1] = np.bincount(np.minimum(c[2:], 5), minlength=6)
+    return c, *(discounts(dict(enumerate(of[k].tolist()))) for k in (1, 2, 3))
+
+
+def score(docs: DataFrame, vocabulary, model: tuple, slices: int, turns: int = TURNS) -> DataFrame:
     """(key, total, words) of docs (text, learns, key): the logarithm of the probability of the texts of a key, and their words.
     Slices take turns: the texts are read once a turn, and the shuffle files of one are deleted before the next."""
-    table = docs.sparkSession.sparkContext.broadcast(model)
+    c = model[0]
+    off = np.concatenate([[0.0], model[1]])
+    share = off[np.minimum(c, 3)].sum() / (len(c) - 1)  # the words and the unknown one
+    whole = c.sum(dtype=np.int64)
+    table = docs.sparkSession.sparkContext.broadcast(c)
+    d1, d2, d3 = off, *model[2:]
 
     def rate(pdf):
         import pandas as pd
 
         release()
 
-        known, p1, unknown, d2, d3 = table.value
-        names, (u, v, w, text), ids, learns = _slice(pdf, True)
-        own = learns[text]
-        s = _Slice(names, u[own], v[own], w[own])
-        at, hit = _find(known, names)
-        p = np.where(hit, p1[at], unknown)[w]
-        off = d2[np.minimum(s.c2, 3) - 1]
-        total, left = (np.bincount(s.pairs // s.size, x, s.size) for x in (s.c2, off))
-        del own, at, names
-        pair, hit = _find(s.pairs, v * s.size + w)
+        c = table.value
+        heads, (u, v, w, text) = _slice(pdf, True)
+        at = np.concatenate([[0], np.cumsum(pdf["n"])])
+        own = text < np.repeat(pdf["learnt"].to_numpy(), pdf["n"])
+        s = _Slice(heads, len(c), u[own], v[own], w[own])
+        del own
+        p = c[w]
+        p = (p - d1[np.minimum(p, 3)] + share) / whole
         if len(s.pairs):
+            off = d2[np.minimum(s.c2, 3) - 1]
+            total, left = (np.bincount(s.pairs // s.size, x, s.many) for x in (s.c2, off))
+            pair, hit = _find(s.pairs, s.pair(v, w))
             mass = total[v]
             p = np.where(mass > 0, (np.where(hit, (s.c2 - off)[pair], 0) + left[v] * p) / np.where(mass > 0, mass, 1), p)
+            del mass
             off = d3[np.minimum(s.c3, 3) - 1]
             total, left = (np.bincount(s.of, x, len(s.before)) for x in (s.c3, off))
             tri, there = _find(s.tri, pair * s.size + u)
-            del pair
-            at, seen = _find(s.before, u * s.size + v)
-            p = np.where(seen, (np.where(there & hit, (s.c3 - off)[tri], 0) + left[at] * p) / total[at], p)
+            there &= hit
+            del pair, hit
+            above = np.where(there, (s.c3 - off)[tri], 0)
+            del tri, there
+            place, seen = _find(s.before, s.context(u, v))
+            p = np.where(seen, (above + left[place] * p) / total[place], p)
+            del above, place, seen
         del u, v, w, s
-        key, at = np.unique(ids.view(np.uint64), return_inverse=True)
-        total, words = np.bincount(at[text], np.log(p), len(key)), np.bincount(at[text], minlength=len(key))
-        ends = np.searchsorted(key >> U(32), (np.arange(LOTS + 1) << 32) // LOTS)  # keys are sorted
-        rows = [(i, key[a:z].tobytes(), total[a:z].tobytes(), words[a:z].astype(np.uint32).tobytes()) for i, (a, z) in enumerate(zip(ends[:-1], ends[1:])) if z > a]
+        p = np.log(p)
+        rows = {"piece": pdf["piece"], "n": pdf["n"], "ids": pdf["ids"], "own": [], "total": []}
+        for a, z in zip(at[:-1], at[1:]):
+            here = text[a:z]  # ascending
+            start = np.flatnonzero(np.diff(here, prepend=-1))
+            rows["own"].append(_pack(np.diff(here[start], prepend=0)))
+            rows["total"].append(np.add.reduceat(p[a:z], start).tobytes())
+        del p, text
         release()
-        return pd.DataFrame(rows, columns=["lot", "key", "total", "words"])
+        return pd.DataFrame(rows)
 
     def add(pdf):
         import pandas as pd
 
-        key, total, words = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("key", np.int64), ("total", np.float64), ("words", np.uint32)))
-        key, at = np.unique(key, return_inverse=True)
-        return pd.DataFrame({"key": key, "total": np.bincount(at, total), "words": np.bincount(at, words).astype(np.int64)})
+        ids = [x for x in pdf["ids"] if x]  # several: the same texts stand in as many pieces
+        size = len(ids[0]) // 12 if ids else 0
+        key, many = np.frombuffer(ids[0], np.int64, size), np.frombuffer(ids[0], np.uint32, size, 8 * size).astype(np.int64) * len(ids)
+        if many.sum() != pdf["n"].sum():
+            raise RuntimeError("a piece's texts came in another order when it was read again")
+        total = np.zeros(size)
+        for own, x in zip(pdf["own"], pdf["total"]):
+            x = np.frombuffer(x, np.float64)
+            total[np.cumsum(_unpack(own, 1, len(x))[0])] += x
+        return pd.DataFrame({"key": key, "total": total, "words": many})
 
     totals = None
     for turn in range(min(turns, slices)):
-        parts = _slices(docs.select("text", "learns", "key"), slices, True, turn, min(turns, slices))
-        found = parts.groupBy("slice").applyInPandas(rate, "lot int, key binary, total binary, words binary")
-        found = materialize(found.groupBy("lot").applyInPandas(add, "key long, total double, words long"), "totals")
+        parts = _slices(docs.select("text", "learns", "key"), vocabulary, slices, True, turn, min(turns, slices))
+        found = parts.groupBy("slice").applyInPandas(rate, "piece long, n long, ids binary, own binary, total binary")
+        with shuffles_deleted(docs.sparkSession):
+            found = materialize(found.groupBy("piece").applyInPandas(add, "key long, total double, words long"), "totals")
         totals = found if totals is None else totals.unionByName(found)
         del parts, found
         free_shuffles(docs.sparkSession)
@@ -474,12 +577,15 @@ def rated(docs: DataFrame, keep: list[str], slices: int | None = None) -> DataFr
     """Columns `keep` of docs (with text and learns), n_words and perplexity (null without words), by a model of the texts that
     learns marks; None if they have no word. Equal texts have one key."""
     slices = slices or max(6, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 3 // 2)
-    model = learn(docs.where("learns").select("text"), slices)
-    free_shuffles(docs.sparkSession)
-    if model is None:
+    trusted = docs.where("learns").select("text")
+    known = words(trusted)
+    if known is None:
         return None
+    vocabulary = docs.sparkSession.sparkContext.broadcast(known)
+    model = learn(trusted, vocabulary, slices)
+    free_shuffles(docs.sparkSession)
     key = F.xxhash64("text").alias("key")
-    totals = materialize(score(docs.select("text", "learns", key), model, slices), "totals")
+    totals = materialize(score(docs.select("text", "learns", key), vocabulary, model, slices), "totals")
     n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(*keep, n.alias("n_words"), key).join(small(totals), "key", "left")
     return rows.select(*keep, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("total") / F.col("words"))).alias("perplexity"))
