@@ -38,6 +38,8 @@ SHARDS, QUANTILE, SLACK = 16, 0.98, 1.15
 HOT, BITS = 1 << 20, 29
 #: Words of a piece of texts, whose trigrams are packed together.
 PIECE = 1 << 21
+#: Trigrams of a slice that are unpacked at a time, if no piece has more.
+CHUNK = 1 << 19
 #: Columns of so many numbers are compressed byte by byte.
 LONG = 4096
 #: Turns in which all documents' trigrams are shuffled: each holds that part of them on disk.
@@ -386,37 +388,85 @@ def _slices(docs: DataFrame, vocabulary, slices: int, keyed: bool, turn: int = 0
     return docs.mapInArrow(lambda batches: _pieces(batches, packed, keyed), "slice int, piece long, n long, heads binary, body binary, learnt long, ids binary")
 
 
-def _slice(pdf, keyed: bool):
-    """Of a slice's pieces: the middle words' numbers, sorted; trigrams (u, v, w), v as a number of those; and, keyed, each
-    trigram's text in its piece."""
-    tables = [np.frombuffer(x, np.uint32) for x in pdf["heads"]]
-    heads = np.unique(np.concatenate(tables))
-    out = [np.empty(int(pdf["n"].sum()), np.int32) for _ in range(4 if keyed else 3)]
+def _by_slice(parts: DataFrame, work, kind: str) -> DataFrame:
+    """work(rows), with the rows of one slice after the other, gives record batches: rows stay packed until work unpacks them."""
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if rows and rows[0]["slice"] != r["slice"]:
+                    yield from work(rows)
+                    rows = []
+                    release()
+                rows.append(r)
+        if rows:
+            yield from work(rows)
+        del rows
+        release()
+
+    return parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, kind)
+
+
+def _heads(rows) -> np.ndarray:
+    """The numbers of a slice's middle words, sorted."""
+    return np.unique(np.concatenate([np.frombuffer(r["heads"], np.uint32) for r in rows]))
+
+
+def _chunks(rows, heads: np.ndarray, keyed: bool):
+    """(some rows, where each ends, u, v, w, text) of trigrams (u, v, w), v as a place in heads; text (keyed) is its text's number in the piece."""
     a = 0
-    for own, body, n in zip(tables, pdf["body"], pdf["n"]):
-        columns = _unpack(body, len(out), n)
-        columns[1] = np.searchsorted(heads, own).astype(np.int32)[columns[1]]
-        if keyed:
-            columns[3] = np.cumsum(columns[3])
-        for x, c in zip(out, columns):
-            x[a : a + n] = c
-        a += n
-    return heads, out
+    while a < len(rows):
+        z, n = a, 0
+        while z < len(rows) and (z == a or n + rows[z]["n"] <= CHUNK):
+            n += rows[z]["n"]
+            z += 1
+        parts = []
+        for r in rows[a:z]:
+            columns = _unpack(r["body"], 4 if keyed else 3, r["n"])
+            columns[1] = np.searchsorted(heads, np.frombuffer(r["heads"], np.uint32)).astype(np.int32)[columns[1]]
+            if keyed:
+                columns[3] = np.cumsum(columns[3])
+            parts.append(columns)
+        yield rows[a:z], np.cumsum([r["n"] for r in rows[a:z]]), *(np.concatenate(x) for x in zip(*parts))
+        a = z
 
 
 class _Slice:
     """Counts of a slice's learnt trigrams (u, v, w), words numbered below size and middle words as in heads: all that share
-    a middle word are in one slice, and so are the pairs that end with it and those that begin with it."""
-
-    def __init__(self, heads, size, u, v, w) -> None:
-        self.size, self.many = size, len(heads)
-        self.pairs, at = np.unique(self.pair(v, w), return_inverse=True)
-        self.tri, self.c3 = np.unique(at * size + u, return_counts=True)
-        del at
-        pair = self.tri // size
-        first = heads[self.pairs // size] == 1  # nothing stands before a text's beginning: occurrences count
-        self.c2 = np.where(first, np.bincount(pair, self.c3, len(self.pairs)), np.bincount(pair, minlength=len(self.pairs))).astype(np.int64)
-        self.before, self.of = np.unique(self.context(self.tri % size, self.pairs[pair] // size), return_inverse=True)
+    a middle word are in one slice, and so are the pairs that end with it and those that begin with it. add() takes them lot by
+    lot, so that only different trigrams are held; close() ends that."""
+
+    def __init__(self, heads, size) -> None:
+        self.heads, self.size, self.many = heads, size, len(heads)
+        none = np.zeros(0, np.int64)
+        self.lots = [(none, none, none)]
+
+    def add(self, u, v, w) -> None:
+        pairs, at = np.unique(self.pair(v, w), return_inverse=True)
+        self.lots.append((pairs, *np.unique(at * self.size + u, return_counts=True)))
+        while len(self.lots) > 1 and len(self.lots[-2][1]) < 2 * len(self.lots[-1][1]):
+            self._merge()
+
+    def _merge(self) -> None:
+        lots = [self.lots.pop(), self.lots.pop()]
+        pairs = np.unique(np.concatenate([p for p, _, _ in lots]))
+        tri = np.concatenate([np.searchsorted(pairs, p)[t // self.size] * self.size + t % self.size for p, t, _ in lots])
+        tri, at = np.unique(tri, return_inverse=True)
+        c = np.zeros(len(tri), np.int64)
+        np.add.at(c, at, np.concatenate([c for _, _, c in lots]))
+        self.lots.append((pairs, tri, c))
+
+    def close(self) -> None:
+        while len(self.lots) > 1:
+            self._merge()
+        (self.pairs, self.tri, self.c3), self.lots = self.lots[0], []
+        pair = self.tri // self.size
+        first = self.heads[self.pairs // self.size] == 1  # nothing stands before a text's beginning: occurrences count
+        many = np.zeros(len(self.pairs), np.int64)
+        np.add.at(many, pair, self.c3)
+        self.c2 = np.where(first, many, np.bincount(pair, minlength=len(self.pairs)))
+        self.before, self.of = np.unique(self.context(self.tri % self.size, self.pairs[pair] // self.size), return_inverse=True)
 
     def pair(self, v, w):
         return v.astype(np.int64) * self.size + w
@@ -438,6 +488,10 @@ def _by_part(part: np.ndarray, name: np.ndarray, n: np.ndarray) -> list[tuple]:
     return [(int(k), x.tobytes(), y.astype(np.int64).tobytes()) for k, x, y in zip(kinds, np.split(name, ends[1:]), np.split(n, ends[1:]))]
 
 
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "a", "b"])
+
+
 def _added(parts: DataFrame, kind) -> dict[int, list[np.ndarray]]:
     """By part, the distinct a (arrays of a kind) of rows (part, a, b) and the sums of their b; below 0: the sum of b."""
 
@@ -461,8 +515,7 @@ def words(trusted: DataFrame) -> _Words | None:
 
     def count(found, keys, learns):
         name, n = np.unique(np.concatenate(found), return_counts=True)
-        rows = zip(*_by_part((name >> U(58)).astype(np.int64), name, n))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.binary(), pa.binary()))], names=["part", "a", "b"])
+        return _part_batch(_by_part((name >> U(58)).astype(np.int64), name, n))
 
     found = _added(trusted.select("text").mapInArrow(lambda b: _pieces(b, count), "part int, a binary, b binary"), np.uint64)
     return _Words(*(np.concatenate(x) for x in zip(*found.values()))) if found else None
@@ -473,20 +526,18 @@ def learn(trusted: DataFrame, vocabulary, slices: int) -> tuple:
     vocabulary numbers."""
     size = len(vocabulary.value.names) + 1
 
-    def count(pdf):
-        import pandas as pd
-
-        heads, columns = _slice(pdf, False)
-        s = _Slice(heads, size, *columns)
+    def count(rows):
+        heads = _heads(rows)
+        s = _Slice(heads, size)
+        for _, _, *columns in _chunks(rows, heads, False):
+            s.add(*columns)
+        s.close()
         word, n = np.unique(s.pairs % size, return_counts=True)
         of = [np.bincount(np.minimum(c, 5), minlength=6).astype(np.int64).tobytes() for c in (s.c2, s.c3)]
-        rows = [(-2, b"", of[0]), (-3, b"", of[1]), *_by_part(word * 64 // size, word, n)]
-        del s, columns
-        release()
-        return pd.DataFrame(rows, columns=["part", "a", "b"])
+        yield _part_batch([(-2, b"", of[0]), (-3, b"", of[1]), *_by_part(word * 64 // size, word, n)])
 
-    parts = _slices(trusted.select("text"), vocabulary, slices, False)
-    found = _added(parts.groupBy("slice").applyInPandas(count, "part int, a binary, b binary"), np.int64)
+    parts = _by_slice(_slices(trusted.select("text"), vocabulary, slices, False), count, "part int, a binary, b binary")
+    found = _added(parts, np.int64)
     of = {2: found.pop(-2)[1], 3: found.pop(-3)[1]}
     c = np.zeros(size, np.uint32)
     for number, n in found.values():
@@ -505,47 +556,40 @@ def score(docs: DataFrame, vocabulary, model: tuple, slices: int, turns: int = T
     table = docs.sparkSession.sparkContext.broadcast(c)
     d1, d2, d3 = off, *model[2:]
 
-    def rate(pdf):
-        import pandas as pd
-
-        release()
-
-        c = table.value
-        heads, (u, v, w, text) = _slice(pdf, True)
-        at = np.concatenate([[0], np.cumsum(pdf["n"])])
-        own = text < np.repeat(pdf["learnt"].to_numpy(), pdf["n"])
-        s = _Slice(heads, len(c), u[own], v[own], w[own])
-        del own
-        p = c[w]
-        p = (p - d1[np.minimum(p, 3)] + share) / whole
-        if len(s.pairs):
-            off = d2[np.minimum(s.c2, 3) - 1]
-            total, left = (np.bincount(s.pairs // s.size, x, s.many) for x in (s.c2, off))
-            pair, hit = _find(s.pairs, s.pair(v, w))
-            mass = total[v]
-            p = np.where(mass > 0, (np.where(hit, (s.c2 - off)[pair], 0) + left[v] * p) / np.where(mass > 0, mass, 1), p)
-            del mass
-            off = d3[np.minimum(s.c3, 3) - 1]
-            total, left = (np.bincount(s.of, x, len(s.before)) for x in (s.c3, off))
-            tri, there = _find(s.tri, pair * s.size + u)
-            there &= hit
-            del pair, hit
-            above = np.where(there, (s.c3 - off)[tri], 0)
-            del tri, there
-            place, seen = _find(s.before, s.context(u, v))
-            p = np.where(seen, (above + left[place] * p) / total[place], p)
-            del above, place, seen
-        del u, v, w, s
-        p = np.log(p)
-        rows = {"piece": pdf["piece"], "n": pdf["n"], "ids": pdf["ids"], "own": [], "total": []}
-        for a, z in zip(at[:-1], at[1:]):
-            here = text[a:z]  # ascending
-            start = np.flatnonzero(np.diff(here, prepend=-1))
-            rows["own"].append(_pack(np.diff(here[start], prepend=0)))
-            rows["total"].append(np.add.reduceat(p[a:z], start).tobytes())
-        del p, text
-        release()
-        return pd.DataFrame(rows)
+    def rate(rows):
+        c, heads = table.value, _heads(rows)
+        s = _Slice(heads, len(c))
+        for some, ends, u, v, w, text in _chunks(rows, heads, True):
+            own = text < np.repeat([r["learnt"] for r in some], np.diff(ends, prepend=0))
+            if own.any():
+                s.add(u[own], v[own], w[own])
+        s.close()
+        off = d2[np.minimum(s.c2, 3) - 1]
+        mass, left2 = (np.bincount(s.pairs // s.size, x, s.many) for x in (s.c2, off))
+        above2 = s.c2 - off
+        off = d3[np.minimum(s.c3, 3) - 1]
+        total, left3 = (np.bincount(s.of, x, len(s.before)) for x in (s.c3, off))
+        above3 = s.c3 - off
+        del off, s.of, s.c2, s.c3
+        for some, ends, u, v, w, text in _chunks(rows, heads, True):
+            p = c[w]
+            p = (p - d1[np.minimum(p, 3)] + share) / whole
+            if len(s.pairs):
+                pair, hit = _find(s.pairs, s.pair(v, w))
+                of = mass[v]
+                p = np.where(of > 0, (np.where(hit, above2[pair], 0) + left2[v] * p) / np.where(of > 0, of, 1), p)
+                tri, there = _find(s.tri, pair * s.size + u)
+                place, seen = _find(s.before, s.context(u, v))
+                p = np.where(seen, (np.where(there & hit, above3[tri], 0) + left3[place] * p) / total[place], p)
+            p = np.log(p)
+            out = {"piece": [r["piece"] for r in some], "n": [r["n"] for r in some], "ids": [r["ids"] for r in some], "own": [], "total": []}
+            for a, z in zip([0, *ends[:-1]], ends):
+                here = text[a:z]  # ascending
+                start = np.flatnonzero(np.diff(here, prepend=-1))
+                out["own"].append(_pack(np.diff(here[start], prepend=0)))
+                out["total"].append(np.add.reduceat(p[a:z], start).tobytes())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_pydict(out, pa.schema(list(zip(out, kinds))))
 
     def add(pdf):
         import pandas as pd
@@ -564,7 +608,7 @@ def score(docs: DataFrame, vocabulary, model: tuple, slices: int, turns: int = T
     totals = None
     for turn in range(min(turns, slices)):
         parts = _slices(docs.select("text", "learns", "key"), vocabulary, slices, True, turn, min(turns, slices))
-        found = parts.groupBy("slice").applyInPandas(rate, "piece long, n long, ids binary, own binary, total binary")
+        found = _by_slice(parts, rate, "piece long, n long, ids binary, own binary, total binary")
         with shuffles_deleted(docs.sparkSession):
             found = materialize(found.groupBy("piece").applyInPandas(add, "key long, total double, words long"), "totals")
         totals = found if totals is None else totals.unionByName(found)
