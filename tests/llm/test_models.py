@@ -214,6 +214,20 @@ def test_quality_words_and_columns():
         assert all((a == b).all() for a, b in zip(columns, quality._unpack(quality._pack(*columns), 3, n)))
 
 
+def test_quality_thresholds_are_exact(spark):
+    """Beyond 10,000 judged documents too, whatever their partitions."""
+    r = random.Random(13)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.5)) % 5000}" for _ in range(r.randrange(8)))) for i in range(40_000)]
+    docs = spark.createDataFrame([(i, t, r.choice(["en"] * 9 + [None])) for i, t in rows], "doc_id long, text string, lang string").repartition(8)
+    got = quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    got = got.withColumn("judged", F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(2)) != 0).collect()
+    for lang in ("en", None):
+        judged = sorted(x.perplexity for x in got if x.judged and x.lang == lang and x.perplexity is not None)
+        want = judged[math.ceil(0.98 * len(judged)) - 1] * 1.15
+        assert {x.threshold for x in got if x.lang == lang} == {want}
+        assert all(x.kept == (x.perplexity is not None and x.perplexity <= want) for x in got if x.lang == lang)
+
+
 def test_pivots(spark):
     r = np.random.default_rng(5)
     base = r.normal(size=(150, 24))

@@ -11,8 +11,8 @@ of their middle word, so that a slice has every count that its trigrams need but
 `values` and `perplexity` are a plainer form by joins of rows.
 
 A document is kept if its perplexity is at most the `QUANTILE` of the trusted documents' in its language, times `SLACK`.
-Perplexities are of whole texts, without an end mark; quantiles are over all trusted documents that the model didn't learn
-from. A language without trusted documents takes the threshold over all languages.
+Perplexities are of whole texts, without an end mark; quantiles are exact, over all trusted documents that the model didn't
+learn from. A language without trusted documents takes the threshold over all languages.
 
 Defined results: null and empty texts have no perplexity and are not kept; texts with a null language are a language; without
 trusted text nothing can be judged and all rows with words are kept; perplexities at a threshold are kept; repeated rows and
@@ -635,6 +635,22 @@ def rated(docs: DataFrame, keep: list[str], slices: int | None = None) -> DataFr
     return rows.select(*keep, "n_words", F.when(F.col("n_words") > 0, F.exp(-F.col("total") / F.col("words"))).alias("perplexity"))
 
 
+def _quantiles(values: DataFrame, quantile: float) -> DataFrame:
+    """(lang, own) of values (lang, perplexity, n): the value of rank ceil(quantile * rows) of each language, exactly, found among the
+    values of the bin that holds it, so that no task sorts a language's values."""
+    from pyspark.sql import Window as W
+
+    step = F.floor(F.log2("perplexity") * 256)
+    bins = values.groupBy("lang", step.alias("bin")).agg(F.sum("n").alias("n"))
+    up_to = F.sum("n").over(W.partitionBy("lang").orderBy("bin"))
+    rank = F.greatest(F.ceil(F.lit(quantile) * F.sum("n").over(W.partitionBy("lang"))), F.lit(1))
+    bins = bins.withColumn("up_to", up_to).withColumn("rank", rank).where("rank > up_to - n and rank <= up_to")
+    bins = bins.select(F.col("lang").alias("__lang"), "bin", (F.col("rank") - F.col("up_to") + F.col("n")).alias("place"))
+    inside = values.withColumn("__bin", step).join(bins, F.col("lang").eqNullSafe(F.col("__lang")) & (F.col("__bin") == F.col("bin")))
+    inside = inside.withColumn("up_to", F.sum("n").over(W.partitionBy("lang").orderBy("perplexity")))
+    return inside.where("up_to >= place").groupBy("lang").agg(F.min("perplexity").alias("own"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) of every row of docs."""
     trusted_ids = materialize(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "trusted")
@@ -648,9 +664,10 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack:
     rows = materialize(rows, "judged")
     judged = small(trusted_ids.where(~learns))
     known = rows.where("perplexity is not null").join(judged, F.col("doc_id") == F.col("__id"), "left_semi")
-    at = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    by = known.groupBy("lang").agg(at.alias("own")).select(F.col("lang").alias("__lang"), "own")
-    whole = known.agg(at.alias("t")).first()["t"]
+    known = materialize(known.groupBy("lang", "perplexity").agg(F.count(F.lit(1)).alias("n")), "known")
+    by = materialize(_quantiles(known, quantile).select(F.col("lang").alias("__lang"), (F.col("own") * slack).alias("own")), "thresholds")
+    whole = _quantiles(known.withColumn("lang", F.lit("")), quantile).first()
+    whole = whole["own"] * slack if whole else None
     out = rows.join(F.broadcast(by.limit(10_000)), F.col("lang").eqNullSafe(F.col("__lang")), "left") if by.count() <= 10_000 else rows.join(by, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     threshold = F.coalesce("own", F.lit(whole).cast("double"))
     kept = F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(threshold, F.lit(float("inf"))))
